@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from tests.llm.helpers import docs, write_docs
+from tidewatch.llm.pii import KINDS, find_pii, find_spans, luhn, mask, mod97, op2_pii
+
+
+def plain(text):
+    """The base spans by the patterns as they stand."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+def samples(n):
+    r = random.Random(3)
+    bits = ["a", "b.c", "@", "@x.y", "x@y.z", ".", " ", "-", "+", "1", "25", "255", "300", "1.2.3.4", "+1 (338) 555-7198", "4539 1488 0343 6467", "4111111111111111", "é", "(", ")", "_%", "0007", "1.2.3.4.5.6.7.8.9", "@a@b.c", "\n"]
+    return ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def test_base_spans_equal_the_patterns():
+    for x in samples(6000):
+        assert [s[:3] for s in find_spans(x) if s[0] in ("email", "ip", "card", "phone")] == plain(x), x
+
+
+def test_checks_and_context():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("DE89370400440532013000") and not mod97("DE88370400440532013000")
+    assert [s[0] for s in find_spans("iban DE89 3704 0044 0532 0130 00.")] == ["iban"]
+    assert not find_spans("iban DE88 3704 0044 0532 0130 00.") or find_spans("iban DE88 3704 0044 0532 0130 00.")[0][0] != "iban"
+    assert [s[0] for s in find_spans("his ssn is 123-45-6789")] == ["ssn"] and not find_spans("part 123-45-6789")
+    assert find_spans("call +1 (338) 555-7198")[0][3] > find_spans("order +1 (338) 555-7198")[0][3]
+    assert mask("é a@b.c and 1.2.3.4!") == "é [EMAIL] and [IP]!" and mask(None) is None and mask("") == ""
+
+
+def test_long_runs_stay_linear():
+    for x in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+" * 100_000, "a@" * 50_000, "1 " * 100_000):
+        find_spans(x)
+
+
+def test_query(spark, tmp_path):
+    t = [None, "", *samples(200)]
+    t.append(t[-1])
+    for r in op2_pii(spark, write_docs(spark, tmp_path, t)).collect():
+        want = plain(t[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in KINDS[:4]]
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
+    assert find_pii(docs(spark, [])).count() == 0

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidewatch.llm.byte_bpe import op7_byte_bpe
+from tidewatch.llm.decontaminate import OP3_SQL, op3_decontamination
+from tidewatch.llm.pii import op2_pii
 from tidewatch.llm.token_counts import op1_token_counts
+from tidewatch.llm.token_files import op4_token_files
 
 
 def queries() -> dict:
-    found = [op1_token_counts, op7_byte_bpe]
+    found = [op1_token_counts, op2_pii, op3_decontamination, op4_token_files, op7_byte_bpe]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
