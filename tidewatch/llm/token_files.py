@@ -117,30 +117,73 @@ class ShardReader:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, asked once for each different stretch between blanks.
+    """Ids by the tokenizers library, asked once for each different word.
 
-    Exact for tokenizers that drop white space before merging: no id spans a blank, and normalisation
-    (composition, case) never looks across one.  Stretches over 64 characters are not kept.
+    Exact for tokenizers that drop white space before merging and merge runs of letters apart from marks:
+    no id spans a blank, or a letter and the mark behind it, and normalisation (composition, lower case)
+    never looks across either.  Words of letters are asked for many at a time in one text and told apart
+    by the ids that end words.  What is kept is bounded by ``most`` and holds no stretch over 64 characters.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARKS = frozenset(",.!?;:")
+
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+
+    @staticmethod
+    def _root(word: str) -> str | None:
+        """The lower-case form of a word of Latin letters, which encodes the same; None for all else."""
+        return word.lower() if word.isalpha() and max(word) < "\u0180" and len(word) <= 64 else None
+
+    def _ask(self, some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _ask_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 400):
+            some = words[at : at + 400]
+            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
+            cut = [i + 1 for i, x in enumerate(ids) if x in self.ends]
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                data = np.array(ids, "<u4").tobytes()
+                self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cut], cut))
+            else:
+                self.words.update(zip(some, self._ask(some)))
+
+    def _learn(self, new: list[str]) -> None:
+        split, rest, ask = [], [], set()
+        for w in new:
+            root, mark = self._root(w), ""
+            if root is None and len(w) > 1 and w[-1] in self.MARKS:
+                root, mark = self._root(w[:-1]), w[-1]
+            if root is None:
+                rest.append(w)
+            else:
+                split.append((w, root, mark))
+                if root not in self.words:
+                    ask.add(root)
+        self._ask_words(list(ask))
+        marks = dict(zip(self.MARKS, self._ask(list(self.MARKS)))) | {"": b""}
+        self.known.update((w, self.words[root] + marks[mark]) for w, root, mark in split)
+        for at in range(0, len(rest), 5000):
+            self.known.update(zip(rest[at : at + 5000], self._ask(rest[at : at + 5000])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
         if len(self.known) > self.most:
             self.known.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w for ws in split for w in ws if w not in self.known}
+        self._learn(list(new))
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
         for w in new:
             if len(w) > 64:
