@@ -6,12 +6,14 @@ import corpus_pipeline
 from tidewatch.llm.byte_bpe import op7_byte_bpe
 from tidewatch.llm.decontaminate import OP3_SQL, op3_decontamination
 from tidewatch.llm.pii import op2_pii
+from tidewatch.llm.quality import op8_quality
 from tidewatch.llm.token_counts import op1_token_counts
 from tidewatch.llm.token_files import op4_token_files
+from tidewatch.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    found = [op1_token_counts, op2_pii, op3_decontamination, op4_token_files, op7_byte_bpe]
+    found = [op1_token_counts, op2_pii, op3_decontamination, op4_token_files, op6_toxicity, op7_byte_bpe, op8_quality]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
