@@ -1,15 +1,85 @@
-"""The corpus pipeline: stages in order, each over all that its predecessor kept."""
+"""The corpus pipeline: stages in order, each over all that its predecessor kept.
+
+Rejected by the quality classifier: dropped.  Near-duplicate groups: the smallest id stays.  Passages of
+benchmark items: cut out; a document of which more than half is such passages goes.  Personal data:
+replaced by its kind.  The last stage encodes with byte-level BPE, decodes, and returns the digests.
+
+Every stage reads whole texts and keeps the table's other columns.  Null texts pass unchanged where they
+are kept; ``n_chars`` follows the text.  Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.llm.byte_bpe import round_trip
+from tidewatch.llm.decontaminate import decontaminate
+from tidewatch.llm.jaccard import JaccardJoin
+from tidewatch.llm.pii import mask
+from tidewatch.llm.quality import fit_quality, learns, score_quality
+from tidewatch.llm.texts import map_texts
+from tidewatch.runtime import cut
+
+KEEP_FROM = 0.7
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """Each row as one value, beside its text."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_body"))
+
+
+def _renewed(found: DataFrame, text, columns: list[str]) -> list:
+    """The columns of ``_row`` with a new text; the length follows it."""
+    new = F.when(F.col("_row.text").isNotNull(), text)
+    own = {"text": new, "n_chars": F.when(new.isNotNull(), F.length(new).cast("long")).otherwise(F.col("_row.n_chars") if "n_chars" in columns else F.lit(None))}
+    return found.select(*[own.get(c, F.col(f"_row.{c}")).alias(c) for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learns)
+    scored = score_quality(_tagged(docs), model, "_row", "_body")
+    return scored.where(F.col("score") >= KEEP_FROM).select("_row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    join = JaccardJoin(docs)
+    found = cut(join.run(), "found")
+    # of rows with the least id, the one with the least digest stays
+    least = found.where("n > 0").where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("component").alias("c")).agg(F.min("key").alias("k"))
+    lost = found.where("n > 0").join(least, F.col("component").eqNullSafe(F.col("c")), "left").where(~(F.col("id").eqNullSafe(F.col("component")) & F.col("key").eqNullSafe(F.col("k"))))
+    lost = lost.select(F.col("id").alias("_id"), F.col("key").alias("_lost")).distinct()
+    keyed = join.keyed(_tagged(docs))
+    kept = keyed.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_lost")), "left_anti")
+    if not found.where("n > 0").groupBy("id", "key").count().where("count > 1").isEmpty():  # whole rows repeat
+        empty = F.col("_n") == 0
+        kept = kept.where(empty).unionByName(kept.where(~empty).withColumn("_doc", F.col("_row.doc_id")).dropDuplicates(["_doc", "_key"]).drop("_doc"))
+    return kept.select("_row.*")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(_tagged(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row", text_col="_body")
+    return _renewed(found, F.col("text"), docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = map_texts(_tagged(docs), lambda texts: [[mask(x) for x in texts]], [T.StructField("masked", T.StringType())], "_row", "_body")
+    return _renewed(found, F.col("masked"), docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality", quality), ("jaccard", one_of_each_group), ("decontamination", benchmark_passages), ("pii", personal_data), ("byte_bpe", byte_bpe)]
+ORACLE_SQL = None  # a fitted classifier and a tokenizer have no SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

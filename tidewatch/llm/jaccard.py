@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.llm.components import components
 from tidewatch.llm.sketches import COUNT_BITS, PIECES, bloom, count_pieces, gather, may_hold
-from tidewatch.llm.texts import slices
+from tidewatch.llm.texts import map_texts, slices
 from tidewatch.runtime import cut, ship
 
 N, PERCENT = 5, 80
@@ -139,6 +139,16 @@ class JaccardJoin:
         both = cut(self.docs.mapInArrow(run, schema), "rows")
         return both.where("n IS NOT NULL").select(*shingles.names), gather(both.where("piece IS NOT NULL").select("piece", "data"), 1 << COUNT_BITS)
 
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """(_row, _key, _n) of rows given as (_row, _body): the class digest of each."""
+        n = self.n
+
+        def work(texts: list[str]) -> list:
+            sets = Shingler(n).sets(texts)
+            return [[_key(s) for s in sets], [s.size for s in sets]]
+
+        return map_texts(rows, work, [T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType())], "_row", "_body")
+
     def prefixes(self, counts, only=None) -> DataFrame:
         """(token, key, n, pos) of prefix n-grams; ``only``: a Bloom filter of tokens.  Copies within a slice give one."""
         percent = self.percent
