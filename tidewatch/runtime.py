@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -49,7 +50,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidewatch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame made by :func:`cut` that nothing reads any more."""
+    if path := getattr(df, "_tidewatch_path", None):
+        drop(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner find shuffle files of finished jobs now rather than at the next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop(spark: SparkSession, path: str) -> None:
