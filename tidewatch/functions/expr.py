@@ -64,10 +64,14 @@ def _bounds(prefix: str) -> tuple[int, int]:
 
 def in_prefixes(c, prefixes: tuple[str, ...] = CDN_PREFIXES) -> Column:
     """Whether an IPv4 address lies in one of the CIDR blocks."""
-    n, out = ipv4(c), F.lit(False)
-    for p in prefixes:
-        out = out | n.between(*_bounds(p))
-    return F.coalesce(out, F.lit(False))
+
+    def lies(n: Column) -> Column:
+        out = F.lit(False)
+        for p in prefixes:
+            out = out | n.between(*_bounds(p))
+        return out
+
+    return F.coalesce(F.exists(F.array(ipv4(c)), lies), F.lit(False))  # the address is worked out once
 
 
 def is_internal(c) -> Column:
