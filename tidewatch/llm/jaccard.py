@@ -6,12 +6,13 @@ texts (then by hash); two sets that link share one of their first ``n - ceil(t n
 1. Equal sets are one class, known by a 64-bit digest.  Only prefix n-grams of two classes or more matter:
    a partial aggregation finds them, a Bloom filter of fixed size takes them back to the texts.
 2. Copies come in large groups, so most links are found without pairing a group's members: every class
-   meets the least class that shares one of six min-hashed prefix n-grams, and pairs that link give a
-   first labelling by components.
+   meets the least class that shares two of eight min-hashed prefix n-grams; pairs that link give a first
+   labelling by components.  Where many labels still meet, classes meet others picked by hash, twice.
 3. What remains are pairs whose classes have different labels.  Prefix n-grams are counted by pairs of labels
-   first (a group is one row there), then by pairs of classes, each against the length, the number of
-   shared prefix n-grams that a link needs (positional filter) and, with the sets at hand, counts by hash
-   range (suffix filter).  Every pair is verified once.
+   (a group is one row there) against the lengths and the number that a link needs at least; the classes of
+   the pairs left are compared one by one.
+Every pair, wherever it comes from, first meets the length and the positional filter on the shared prefix
+n-grams, then, with the sets at hand, the suffix filter (counts by hash range), and last the intersection.
 
 No pair is dropped but by a bound that no link can break.  Texts without words have the empty set and
 link with nothing; fewer words than n are one n-gram.  Rows of one id count as one document that has
@@ -20,6 +21,8 @@ several texts: each row is listed, with the least id its own text reaches.  Null
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidewatch.llm.components import components
 from tidewatch.llm.sketches import COUNT_BITS, PIECES, bloom, count_pieces, gather, may_hold
 from tidewatch.llm.texts import map_texts, slices
-from tidewatch.runtime import cut, ship
+from tidewatch.runtime import cut, free_shuffles, release, ship
 
 N, PERCENT = 5, 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -39,21 +42,14 @@ _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Shingler:
-    def __init__(self, n: int = N, most: int = 500_000):
-        self.n, self.most, self.hash = n, most, {}
+    def __init__(self, n: int = N):
+        self.n = n
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct 64-bit n-gram hashes of each text."""
-        known = self.hash
-        if len(known) > self.most:
-            known.clear()
         split = [t.encode().translate(_LOWER).split() for t in texts]
-        for ws in split:
-            for w in ws:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
         sizes = [len(ws) for ws in split]
-        word = np.fromiter((known[w] for ws in split for w in ws), np.uint64, sum(sizes))
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, sum(sizes))
         gram = word.copy()
         for k in range(1, self.n):
             gram[: max(0, word.size - k)] = gram[: max(0, word.size - k)] * _A + word[k:]
@@ -61,7 +57,8 @@ class Shingler:
         out, at = [], 0
         for size in sizes:
             if size >= self.n:
-                out.append(np.unique(gram[at : at + size - self.n + 1]))
+                s = np.sort(gram[at : at + size - self.n + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
             elif size:
                 x = word[at : at + 1].copy()
                 for k in range(1, size):
@@ -100,28 +97,30 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT):
         self.spark, self.n, self.percent = docs.sparkSession, n, percent
         ship(self.spark)
-        self.docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+        self.docs = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[id_col]).alias("idh"))
         self.id_type = self.docs.schema["id"].dataType
 
-    def _scan(self, make, schema: T.StructType) -> DataFrame:
-        """``make(ids, sets)`` -> columns, for each slice of whole texts."""
+    def _scan(self, make, schema: T.StructType, rows=None) -> DataFrame:
+        """``make(sets)`` -> columns, for each slice of whole texts; ``rows``: a Bloom filter of the id hashes to look at."""
         n, arrow = self.n, to_arrow_schema(schema)
 
         def run(batches):
             shingler = Shingler(n)
             for batch in batches:
-                for part, texts in slices(batch, 1, 1_500_000):
-                    columns = make(part.column(0), shingler.sets(texts))
+                if rows is not None:
+                    batch = batch.filter(pa.array(may_hold(rows.value, batch.column(2).to_numpy(zero_copy_only=False))))
+                for _, texts in slices(batch, 1, 1_500_000):
+                    columns = make(shingler.sets(texts))
                     if columns is not None:
-                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         return self.docs.mapInArrow(run, schema)
 
     def rows_and_counts(self) -> tuple[DataFrame, np.ndarray]:
         """(id, key, n) of every row, and how many n-grams of all texts each hash bucket has."""
-        schema = T.StructType([T.StructField("id", self.id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *PIECES])
+        schema = T.StructType([T.StructField("id", self.id_type), T.StructField("idh", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *PIECES])
         arrow = to_arrow_schema(schema)
-        n, shingles = self.n, T.StructType(schema.fields[:3])
+        n = self.n
 
         def run(batches):
             shingler, counts = Shingler(n), np.zeros(1 << COUNT_BITS, np.uint32)
@@ -131,13 +130,13 @@ class JaccardJoin:
                     every = np.concatenate(sets)
                     counts += np.bincount((every >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=counts.size).astype(np.uint32)
                     nulls = pa.nulls(len(sets))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], schema=arrow)
             p = count_pieces(counts)
             nulls = pa.nulls(p.num_rows)
-            yield pa.RecordBatch.from_arrays([nulls.cast(arrow.field(0).type), nulls.cast(pa.int64()), nulls.cast(pa.int64()), p.column(0), p.column(1)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([nulls.cast(arrow.field(0).type), nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.int64()), p.column(0), p.column(1)], schema=arrow)
 
         both = cut(self.docs.mapInArrow(run, schema), "rows")
-        return both.where("n IS NOT NULL").select(*shingles.names), gather(both.where("piece IS NOT NULL").select("piece", "data"), 1 << COUNT_BITS)
+        return both.where("n IS NOT NULL").select("id", "idh", "key", "n"), gather(both.where("piece IS NOT NULL").select("piece", "data"), 1 << COUNT_BITS)
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         """(_row, _key, _n) of rows given as (_row, _body): the class digest of each."""
@@ -156,7 +155,7 @@ class JaccardJoin:
         if only is not None:
             fields += [T.StructField("n", T.LongType()), T.StructField("pos", T.IntegerType())]
 
-        def make(ids, sets):
+        def make(sets):
             by_key = {_key(s): s for s in sets if s.size}
             if not by_key:
                 return None
@@ -173,27 +172,32 @@ class JaccardJoin:
 
         return self._scan(make, T.StructType(fields))
 
-    def _sets(self, wanted) -> DataFrame:
-        """(key, set) of the classes in a Bloom filter."""
-
-        def make(ids, sets):
-            by_key = {_key(s): s for s in sets if s.size}
-            keys = np.array(list(by_key), np.int64)
-            ok = may_hold(wanted.value, keys) if keys.size else np.zeros(0, bool)
-            return [keys[ok], [by_key[k].tobytes() for k in keys[ok].tolist()]] if ok.any() else None
-
-        found = self._scan(make, T.StructType([T.StructField("key", T.LongType()), T.StructField("set", T.BinaryType())]))
-        return found.groupBy("key").agg(F.first("set").alias("set"))
-
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) of classes that link."""
-        pairs = cut(pairs, "pairs")
+        """Those of the pairs (a, b) of classes that link."""
+        percent = self.percent
+        a, b = (self.heads.select(*[F.col(c).alias(c if c == "key" else c + x) for c in self.heads.columns]).withColumnRenamed("key", x) for x in "ab")
+        met = pairs.distinct().join(a, "a").join(b, "b").where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+        # positional filter: behind the last shared prefix n-gram there is no more than the shorter rest
+        met = met.withColumn("_both", F.array_intersect("tokensa", "tokensb"))
+        last = lambda x: F.aggregate(F.arrays_zip(F.col("tokens" + x).alias("t"), F.col("pos" + x).alias("p")), F.lit(-1), lambda m, z: F.when((z["p"] > m) & F.array_contains("_both", z["t"]), z["p"]).otherwise(m))
+        total = (F.col("na") + F.col("nb")) * percent
+        need = F.floor((total + 99 + percent) / (100 + percent))
+        left = F.least(F.col("na") - last("a"), F.col("nb") - last("b")) - 1
+        pairs = cut(met.where((F.size("_both") > 0) & (F.size("_both") + F.least(F.col("na"), F.col("nb")) >= need)).where(F.size("_both") + left >= need).select("a", "b"), "pairs")
         if pairs.isEmpty():
             return pairs
-        wanted = self.spark.sparkContext.broadcast(bloom(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()))
-        sets = cut(self._sets(wanted), "sets")
-        percent = self.percent
-        schema = pairs.schema
+        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        share = self.spark.sparkContext.broadcast
+        wanted, rows = share(bloom(keys)), share(bloom(keys.join(self.first_row, "key").select("idh")))
+
+        def make(sets):
+            by_key = {_key(s): s for s in sets if s.size}
+            own = np.array(list(by_key), np.int64)
+            ok = may_hold(wanted.value, own) if own.size else np.zeros(0, bool)
+            return [own[ok], [by_key[k].tobytes() for k in own[ok].tolist()]] if ok.any() else None
+
+        found = cut(self._scan(make, T.StructType([T.StructField("key", T.LongType()), T.StructField("set", T.BinaryType())]), rows), "sets")
+        sets = found.groupBy("key").agg(F.first("set").alias("set"))
 
         def run(batches):
             for batch in batches:
@@ -201,56 +205,77 @@ class JaccardJoin:
                 ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok) if k], pa.int64()), pa.array([x for x, k in zip(b, ok) if k], pa.int64())], names=["a", "b"])
 
-        left = sets.select(F.col("key").alias("a"), F.col("set").alias("x"))
-        right = sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, schema), "links")
+        x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("x")), sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
+        linked = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema), "links")
+        release(found)
+        return linked
 
-    def first_pairs(self, shared: DataFrame, seeds: int = 6) -> DataFrame:
-        """Each class with the least class that has one of its min-hashed shared prefix n-grams."""
-        hashes = shared.groupBy("key").agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"h{i}") for i in range(seeds)])
-        anchors = hashes.select("key", F.explode(F.array(*[F.xxhash64(f"h{i}", F.lit(i)) for i in range(seeds)])).alias("anchor"))
-        leaders = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-        return anchors.join(leaders, "anchor").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+    def anchors(self, seeds: int = 8) -> DataFrame:
+        """(key, anchor): min-hashed shared prefix n-grams of each class."""
+        hashes = self.shared.groupBy("key").agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"h{i}") for i in range(seeds)])
+        return hashes.select("key", F.explode(F.array(*[F.xxhash64(f"h{i}", F.lit(i)) for i in range(seeds)])).alias("anchor"))
 
-    def rest_pairs(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    def first_pairs(self, anchors: DataFrame, agree: int = 2) -> DataFrame:
+        """Each class with the least class of its anchors that shares ``agree`` of them."""
+        leaders = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+        met = anchors.join(leaders, "anchor").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("c"))
+        return met.where(F.col("c") >= agree).select("a", "b")
+
+    def group_pairs(self, anchors: DataFrame, labels: DataFrame, turn: int, crowd: int = 12) -> DataFrame:
+        """Where many labels meet at an anchor: each class with one picked by a hash that differs from turn to turn."""
+        tagged = anchors.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        per = tagged.groupBy("anchor", "label").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key")).alias("one"))
+        heads = per.groupBy("anchor").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("label", "anchor", F.lit(turn)).alias("h"), "label", F.col("one.key").alias("key"))).alias("one")).where(F.col("c") >= crowd)
+        heads = heads.select("anchor", F.col("one.label").alias("to"), F.col("one.key").alias("head"))
+        met = tagged.join(heads, "anchor").where("label <> to")
+        return met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+
+    def rest_pairs(self, labels: DataFrame) -> DataFrame:
         """All pairs of classes with different labels that could link."""
         t, p = self.percent / 100, self.percent
-        tagged = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        tagged = cut(tagged, "tagged")
+        tagged = cut(self.shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "tagged")
         mixed = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         mixed = cut(tagged.join(mixed, "token"), "mixed")
-        sizes = mixed.groupBy("label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        release(tagged)
         groups = mixed.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         x, y = groups.alias("x"), groups.alias("y")
         fits = (F.col("x.label") < F.col("y.label")) & (F.col("x.hi") * 100 >= F.col("y.lo") * p) & (F.col("y.hi") * 100 >= F.col("x.lo") * p)
         met = x.join(y, F.col("x.token") == F.col("y.token")).where(fits).groupBy(F.col("x.label").alias("la"), F.col("y.label").alias("lb")).agg(F.count("*").alias("c"))
+        sizes = mixed.groupBy("label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         met = met.join(sizes.select(F.col("label").alias("la"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a")), "la").join(sizes.select(F.col("label").alias("lb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")), "lb")
         # sizes l <= m, l >= t m: overlap >= t (l + m) / (1 + t), of which at most t m lie behind the shorter prefix
         small = F.greatest(F.least("lo_a", "lo_b"), F.ceil(F.greatest("lo_a", "lo_b") * t - 1e-6))
         large = F.least(F.greatest("hi_a", "hi_b"), F.floor(small / t + 1e-6))
         need = F.floor(small * (t / (1 + t)) - large * (t * t / (1 + t)) - 1e-6)
-        pairs = cut(met.where(F.col("c") >= need).select("la", "lb"), "label_pairs")
-        if pairs.isEmpty():
-            return pairs.select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        x, y = mixed.alias("x"), mixed.alias("y")
-        every = x.join(pairs, F.col("x.label") == F.col("la")).join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.label") == F.col("lb")))
-        every = every.where((F.col("x.n") * 100 >= F.col("y.n") * p) & (F.col("y.n") * 100 >= F.col("x.n") * p))
-        found = every.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.countDistinct("x.token").alias("c"), F.max("x.n").alias("na"), F.max("y.n").alias("nb"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
-        overlap = F.ceil((F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6)
-        return found.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= overlap).select("a", "b")
-
-    def run(self) -> DataFrame:
+        members = mixed.select("label", "key", "n").distinct()
+        x, y = members.select(F.col("label").alias("la"), F.col("key").alias("a"), F.col("n").alias("na")), members.select(F.col("label").alias("lb"), F.col("key").alias("b"), F.col("n").alias("nb"))
+        every = met.where(F.col("c") >= need).select("la", "lb").join(x, "la").join(y, "lb")
+        return every.where((F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
+
+    def run(self, turns: int = 2) -> DataFrame:
         """(id, key, n, component) of every row."""
         rows, counts = self.rows_and_counts()
-        counts = self.spark.sparkContext.broadcast(counts)
+        share = self.spark.sparkContext.broadcast
+        counts = share(counts)
         tokens = self.prefixes(counts).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-        only = self.spark.sparkContext.broadcast(bloom(tokens))
-        shared = cut(self.prefixes(counts, only).distinct(), "shared")
-        links = self.verify(self.first_pairs(shared))
-        labels = cut(components(links), "labels")
-        more = self.verify(self.rest_pairs(shared, labels))
+        only = share(bloom(tokens))
+        free_shuffles(self.spark)
+        self.shared = cut(self.prefixes(counts, only).distinct(), "shared")
+        self.heads = cut(self.shared.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "pos")).alias("l")).select("key", "n", F.col("l.token").alias("tokens"), F.col("l.pos").alias("pos")), "heads")
+        self.first_row = rows.groupBy("key").agg(F.min("idh").alias("idh"))
+        anchors = cut(self.anchors(), "anchors")
+        edges = self.verify(self.first_pairs(anchors))
+        labels = cut(components(edges), "labels")
+        for turn in range(turns):
+            more = self.verify(self.group_pairs(anchors, labels, turn))
+            if more.isEmpty():
+                break
+            edges = edges.unionByName(more)
+            labels = cut(components(edges), "labels")
+        free_shuffles(self.spark)
+        more = self.verify(self.rest_pairs(labels))
         if not more.isEmpty():
-            labels = cut(components(links.unionByName(more)), "labels")
+            labels = cut(components(edges.unionByName(more)), "labels")
         named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = named.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
         joined = named.join(least, "label", "left")
