@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries share an ordinary part: frequent words.  Before it, the toxic one has what
-training finds in toxic texts: runs of byte 5-grams within words that are at least ``RATIO`` times as
-usual in toxic texts as in others; the ordinary one has as many zero bytes, so that all else stands at
-the same distance and the two lengths of a window differ only by what the toxic part saves.  Windows are
-24 words; the savings' maximum and sum over all windows of a text give its score by a logistic curve
-that is calibrated on training rows kept out of the dictionaries.
-
-Both are fitted on the driver on at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows.  Near copies
+training finds in toxic texts: runs of byte n-grams within words that are much more usual in toxic texts
+than in others; the ordinary one has as many zero bytes, so that all else stands at the same distance and
+the two lengths of a window differ only by what the toxic part saves.  There are two such pairs: a strict
+one (5-grams, twenty times as usual) and a loose one (7-grams, five times).  Windows are 24 words; maxima
+and sums of the savings over all windows of a text give its score by a logistic curve that is calibrated
+on training rows kept out of the dictionaries.
+
+All are fitted on the driver on at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows.  Near copies
 count once there.  Null and empty texts have no window and score like a text that saves nothing.
 Without toxic or ordinary training rows every score is the toxic share (0.5 without any rows).
 """
@@ -28,7 +29,8 @@ from tidewatch.llm.labelled import labelled_rows, remainder
 from tidewatch.llm.texts import map_texts
 
 MOST_TOXIC, MOST_ORDINARY = 2500, 5000
-GRAM, RATIO, LEAST, WINDOW, LEVEL = 5, 20, 8, 24, 9
+WINDOW, LEVEL = 24, 9
+PAIRS = ((5, 20, 8, 5), (7, 5, 5, 6))  # n-gram, times as usual, least texts, shortest match
 COMMON_BYTES, TOXIC_BYTES = 16_000, 4_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -37,9 +39,9 @@ def _words(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-def _grams(word: bytes) -> list[bytes]:
+def _grams(word: bytes, n: int) -> list[bytes]:
     b = b" " + word + b" "
-    return [b[i : i + GRAM] for i in range(len(b) - GRAM + 1)]
+    return [b[i : i + n] for i in range(len(b) - n + 1)]
 
 
 def _without_copies(texts: list[str]) -> list[list[bytes]]:
@@ -55,24 +57,24 @@ def _without_copies(texts: list[str]) -> list[list[bytes]]:
     return out
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    sides = [_without_copies(ordinary), _without_copies(toxic)]
+def train_dictionaries(sides: list[list[list[bytes]]], gram: int, ratio: float, least: int) -> tuple[bytes, bytes]:
+    """``sides``: the words of ordinary and of toxic texts."""
     counts = [Counter(), Counter()]
     for y in (0, 1):
         for ws in sides[y]:
-            counts[y].update({g for w in set(ws) for g in _grams(w)})
+            counts[y].update({g for w in set(ws) for g in _grams(w, gram)})
     n0, n1 = max(1, len(sides[0])), max(1, len(sides[1]))
-    special = {g for g, c in counts[1].items() if c >= LEAST and c / n1 >= RATIO * (counts[0][g] + 0.5) / n0}
+    special = {g for g, c in counts[1].items() if c >= least and c / n1 >= ratio * (counts[0][g] + 0.5) / n0}
     runs: Counter = Counter()
     for ws in sides[1]:
         for w in set(ws):
-            grams, b, at = _grams(w), b" " + w + b" ", 0
+            grams, b, at = _grams(w, gram), b" " + w + b" ", 0
             while at < len(grams):
                 to = at
                 while to < len(grams) and grams[to] in special:
                     to += 1
                 if to > at:
-                    runs[b[at : to + GRAM - 1]] += 1
+                    runs[b[at : to + gram - 1]] += 1
                 at = to + 1
     kept, size = [], 0
     for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
@@ -89,25 +91,35 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
 
 
 class Windows:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=GRAM, hash_log=17, chain_log=17, search_log=6)
-        self.by = []
-        for content in (ordinary, toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=params)
-            self.by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+    """``pairs``: (toxic, ordinary) dictionaries, as many as ``PAIRS``."""
 
-    def savings(self, text: str) -> tuple[float, float, float]:
-        """Greatest and total saving of the toxic dictionary over a text's windows (logarithm of the total), and of their number."""
-        ws, usual, toxic = _words(text), self.by[0].compress, self.by[1].compress
-        d = [len(usual(x)) - len(toxic(x)) for x in (b" " + b" ".join(ws[i : i + WINDOW]) + b" " for i in range(0, len(ws), WINDOW))]
-        return float(max([0, *d])), float(np.log1p(sum(x for x in d if x > 0))), float(np.log1p(len(d)))
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.by = []
+        for contents, (_, _, _, shortest) in zip(pairs, PAIRS):
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=shortest, hash_log=17, chain_log=17, search_log=6)
+            made = []
+            for content in contents:
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=params)
+                made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
+            self.by.append(made)
+
+    def savings(self, text: str) -> list[float]:
+        """Of each pair the greatest saving over a text's windows, the logarithm of all savings, their mean and the share of windows that save
+        three bytes or more; and the logarithm of the number of windows."""
+        ws = _words(text)
+        windows = [b" " + b" ".join(ws[i : i + WINDOW]) + b" " for i in range(0, len(ws), WINDOW)]
+        n, out = max(1, len(windows)), [float(np.log1p(len(windows)))]
+        for toxic, usual in self.by:
+            d = [len(usual(x)) - len(toxic(x)) for x in windows]
+            total = sum(x for x in d if x > 0)
+            out += [float(max([0, *d])), float(np.log1p(total)), total / n, sum(x >= 3 for x in d) / n]
+        return out
 
 
 @dataclass
 class Toxicity:
-    toxic: bytes
-    ordinary: bytes
+    pairs: list
     weights: tuple
 
     @classmethod
@@ -118,19 +130,20 @@ class Toxicity:
         prior = float(np.log(p / (1 - p)))
         train, held = [r for i, r in enumerate(rows) if i % 3], rows[::3]
         if len({y for _, y in train}) < 2 or len({y for _, y in held}) < 2:
-            return cls(b"", b"", (prior, 0.0, 0.0, 0.0))
-        toxic, ordinary = train_dictionaries([t for t, y in train if y], [t for t, y in train if not y])
-        windows = Windows(toxic, ordinary)
+            return cls([], (prior,))
+        sides = [_without_copies([t for t, y in train if y == k]) for k in (0, 1)]
+        pairs = [train_dictionaries(sides, gram, ratio, least) for gram, ratio, least, _ in PAIRS]
+        windows = Windows(pairs)
         x = np.array([(1.0, *windows.savings(t)) for t, _ in held])
         y = np.array([y for _, y in held], float)
-        w, ridge = np.zeros(4), np.diag([1e-3, 0.1, 0.1, 0.1])
+        w, ridge = np.zeros(x.shape[1]), np.diag([1e-3] + [0.1] * (x.shape[1] - 1))
         for _ in range(30):  # Newton
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             w += np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge, x.T @ (y - q) - ridge @ w)
-        return cls(toxic, ordinary, tuple(w.tolist()))
+        return cls(pairs, tuple(w.tolist()))
 
     def scores(self, texts: list[str], windows: Windows | None) -> np.ndarray:
-        x = np.array([(1.0, *(windows.savings(t) if windows else (0.0, 0.0, 0.0))) for t in texts]).reshape(-1, 4)
+        x = np.array([(1.0, *(windows.savings(t) if windows else ())) for t in texts]).reshape(-1, len(self.weights))
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -50, 50)))
 
 
@@ -145,7 +158,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", tex
 
     def work(texts: list[str]) -> list:
         if not made:
-            made.append(Windows(model.toxic, model.ordinary) if model.toxic else None)
+            made.append(Windows(model.pairs) if model.pairs else None)
         return [model.scores(texts, made[0])]
 
     return map_texts(docs, work, [T.StructField("score", T.DoubleType())], id_col, text_col)
