@@ -9,8 +9,9 @@ DAY_MS = 86_400_000
 
 
 def time_parts(df: DataFrame) -> DataFrame:
-    at = F.timestamp_micros(F.floor(F.col("timestamp") * 1e6).cast("bigint"))
-    return df.withColumns({"datetime": at, "hour": F.hour(at), "minute": F.minute(at)})
+    """``datetime``, and hour and minute in UTC whatever the session's zone."""
+    at, day = F.timestamp_micros(F.floor(F.col("timestamp") * 1e6).cast("bigint")), F.pmod(F.floor("timestamp"), F.lit(86_400))
+    return df.withColumns({"datetime": at, "hour": F.floor(day / 3600).cast("int"), "minute": F.floor(day % 3600 / 60).cast("int")})
 
 
 def cyclic_time(df: DataFrame) -> DataFrame:

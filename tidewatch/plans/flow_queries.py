@@ -77,7 +77,6 @@ def normalize_schema(spark, d):
 
 @query("SELECT event_id, CAST(hour(ts) AS BIGINT) AS hour, CAST(minute(ts) AS BIGINT) AS minute FROM events")
 def time_parts(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return prepare.time_parts(flows(spark, d)).select("event_id", "hour", "minute")
 
 

@@ -198,7 +198,6 @@ pp AS (SELECT *, CAST(round_even(conf * 4, 0) AS BIGINT) AS s1, CASE WHEN bcv <
 
 @query(f"WITH {_PRI} SELECT src_ip, dst_ip, flow_count, round(bcv, 6) AS bytes_cv, round(pr, 6) AS persistence_ratio, off AS off_hour_connections, s1 AS score_beacon, CAST(s1 + s2 + s3 + s4 + s5 AS BIGINT) AS priority_score FROM pp")
 def priority_score(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     f = flows(spark, d).drop("src_bytes")
     n = F.col("n")
     made = f.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("n")).select("src_ip", "dst_ip", ((n % 11) / 10).alias("beacon_confidence"), F.when(n % 2 == 0, 300.0).otherwise(30.0).alias("dominant_period_s"))
