@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, tmp_path):
 def test_without_the_first_round(spark, monkeypatch):
     """Every link is also found by the exhaustive part alone."""
     monkeypatch.setattr(JaccardJoin, "first_pairs", lambda self, anchors: spark.createDataFrame([], "a long, b long"))
-    monkeypatch.setattr(JaccardJoin, "group_pairs", lambda self, anchors, labels, turn: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(JaccardJoin, "group_pairs", lambda self, anchors, labels: spark.createDataFrame([], "a long, b long"))
     texts = corpus(3)
     assert sorted((tuple(r) for r in near_duplicates(docs(spark, texts)).collect()), key=str) == plain(texts, list(range(len(texts))))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.runtime import cut
+from tidewatch.runtime import cut, release
 
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
@@ -28,7 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = cut(_stars(cut(_stars(both, small=False)), small=True))
+        large = cut(_stars(both, small=False))
+        before, now = now, cut(_stars(large, small=True))
+        release(large)
+        release(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -7,7 +7,7 @@ texts (then by hash); two sets that link share one of their first ``n - ceil(t n
    a partial aggregation finds them, a Bloom filter of fixed size takes them back to the texts.
 2. Copies come in large groups, so most links are found without pairing a group's members: every class
    meets the least class that shares two of eight min-hashed prefix n-grams; pairs that link give a first
-   labelling by components.  Where many labels still meet, classes meet others picked by hash, twice.
+   labelling by components.  Where a large group still meets other labels, those meet members picked by hash.
 3. What remains are pairs whose classes have different labels.  Prefix n-grams are counted by pairs of labels
    (a group is one row there) against the lengths and the number that a link needs at least; the classes of
    the pairs left are compared one by one.
@@ -208,6 +208,8 @@ class JaccardJoin:
         x, y = sets.select(F.col("key").alias("a"), F.col("set").alias("x")), sets.select(F.col("key").alias("b"), F.col("set").alias("y"))
         linked = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema), "links")
         release(found)
+        release(pairs)
+        free_shuffles(self.spark)
         return linked
 
     def anchors(self, seeds: int = 8) -> DataFrame:
@@ -221,13 +223,14 @@ class JaccardJoin:
         met = anchors.join(leaders, "anchor").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("c"))
         return met.where(F.col("c") >= agree).select("a", "b")
 
-    def group_pairs(self, anchors: DataFrame, labels: DataFrame, turn: int, crowd: int = 12) -> DataFrame:
-        """Where many labels meet at an anchor: each class with one picked by a hash that differs from turn to turn."""
+    def group_pairs(self, anchors: DataFrame, labels: DataFrame, crowd: int = 16, heads: int = 16) -> DataFrame:
+        """Where a large group meets other labels at an anchor: the others with some of its members there, picked by hashes."""
         tagged = anchors.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        per = tagged.groupBy("anchor", "label").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key")).alias("one"))
-        heads = per.groupBy("anchor").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("label", "anchor", F.lit(turn)).alias("h"), "label", F.col("one.key").alias("key"))).alias("one")).where(F.col("c") >= crowd)
-        heads = heads.select("anchor", F.col("one.label").alias("to"), F.col("one.key").alias("head"))
-        met = tagged.join(heads, "anchor").where("label <> to")
+        picks = F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key")) for i in range(heads)])
+        per = tagged.groupBy("anchor", "label").agg(F.count("*").alias("m"), picks.alias("picks"))
+        large = per.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.struct("m", "label", "picks")).alias("top")).where((F.col("c") > 1) & (F.col("top.m") >= crowd))
+        large = large.select("anchor", F.col("top.label").alias("to"), F.array_distinct(F.transform("top.picks", lambda x: x["key"])).alias("heads"))
+        met = tagged.join(large, "anchor").where("label <> to").select("key", F.explode("heads").alias("head"))
         return met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
 
     def rest_pairs(self, labels: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ class JaccardJoin:
         every = met.where(F.col("c") >= need).select("la", "lb").join(x, "la").join(y, "lb")
         return every.where((F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
 
-    def run(self, turns: int = 2) -> DataFrame:
+    def run(self) -> DataFrame:
         """(id, key, n, component) of every row."""
         rows, counts = self.rows_and_counts()
         share = self.spark.sparkContext.broadcast
@@ -266,15 +269,16 @@ class JaccardJoin:
         anchors = cut(self.anchors(), "anchors")
         edges = self.verify(self.first_pairs(anchors))
         labels = cut(components(edges), "labels")
-        for turn in range(turns):
-            more = self.verify(self.group_pairs(anchors, labels, turn))
-            if more.isEmpty():
-                break
+        more = self.verify(self.group_pairs(anchors, labels))
+        release(anchors)
+        if not more.isEmpty():
             edges = edges.unionByName(more)
+            release(labels)
             labels = cut(components(edges), "labels")
         free_shuffles(self.spark)
         more = self.verify(self.rest_pairs(labels))
         if not more.isEmpty():
+            release(labels)
             labels = cut(components(edges.unionByName(more)), "labels")
         named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = named.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
