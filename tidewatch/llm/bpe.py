@@ -85,30 +85,37 @@ class Merges:
                 before, b = rb + 1, self.left[b]
             else:
                 break
-        if len(self.memo) > 2_000_000:
+        if len(self.memo) > 250_000:
             self.memo.clear()
         self.memo[key] = ok
         return ok
 
     def start(self) -> tuple:
-        return (NONE, ())
+        return (NONE,)
 
     def step(self, state: tuple, c) -> tuple[tuple, int]:
-        """State: the last token, and (trie node, token before, its count less ours) of each open start."""
-        last, starts = state
+        """State: the last token, then each open start as one number: trie node, token before, its count less ours."""
+        last = state[0]
         if last != NONE and (self.text[last][-1], c) not in self.inside:
             last = NONE
-        found, grown = None, []
-        for node, before, less in (*starts, (0, last, 0)):
-            to = self.child.get((node, c))
-            if to is None:
+        token, more, grown = NONE, 0, []
+        for code in (*state[1:], _code(0, last, 0)):
+            node = self.child.get((code >> 28, c))
+            if node is None:
                 continue
-            t = self.ends[to]
-            if found is None and t != NONE and (before == NONE or self.fits(before, t)):
-                found = (t, less + 1)
-            if self.open[to]:
-                grown.append((to, before, less))
-        if found is None:
+            before, t = (code >> 6 & 0x3FFFFF) - 1, self.ends[node]
+            less = (code & 63) - 32
+            if token == NONE and t != NONE and (before == NONE or self.fits(before, t)):
+                token, more = t, less + 1
+            if self.open[node]:
+                grown.append((node, before, less))
+        if token == NONE:
             raise ValueError(f"no token ends at symbol {c!r}")
-        token, more = found
-        return (token, tuple((n, b, less - more if self.counts else 0) for n, b, less in grown)), more if self.counts else 0
+        if not self.counts:
+            return (token, *[_code(n, b, 0) for n, b, _ in grown]), 0
+        return (token, *[_code(n, b, less - more) for n, b, less in grown]), more
+
+
+def _code(node: int, before: int, less: int) -> int:
+    """Nodes and tokens below 2^22, counts that differ by less than 32."""
+    return (node << 22 | before + 1) << 6 | less + 32

@@ -23,7 +23,7 @@ _MULT = np.int64(-0x61C8864680B583EB)  # odd; products wrap
 class Lanes:
     """``bits``: symbols are below ``2**bits``.  ``most_states`` bounds the table; it is dropped between runs."""
 
-    def __init__(self, spec, bits: int, most_states: int = 1_200_000):
+    def __init__(self, spec, bits: int, most_states: int = 200_000):
         self.spec, self.bits, self.most_states = spec, bits, most_states
         self._clear()
 
@@ -44,10 +44,10 @@ class Lanes:
 
     def _insert(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
         """Distinct new keys."""
-        if (self.used + keys.size) * 6 > (1 << self.power):
+        if (self.used + keys.size) * 3 > (1 << self.power):
             old = self.keys >= 0
             k, t, o = self.keys[old], self.to[old], self.out[old]
-            while (self.used + keys.size) * 9 > (1 << self.power):
+            while (self.used + keys.size) * 5 > (1 << self.power):
                 self.power += 1
             self._alloc()
             self.used = 0

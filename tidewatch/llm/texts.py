@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.runtime import ship
 
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 
 
 def slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
