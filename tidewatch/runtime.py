@@ -27,6 +27,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_PACKAGE.parent))
     spark.sparkContext.addPyFile(name)
     _SHIPPED.add(app)
+    # whole texts are long: batches of 10,000 rows, Spark's default, would hold hundreds of MB in each worker
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def shared_dir(spark: SparkSession) -> str:
