@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.bpe import NONE, Merges
 from tidewatch.llm.lanes import Lanes
-from tidewatch.llm.texts import map_texts
+from tidewatch.llm.texts import kept, map_texts
 
 _OTHER, _LETTER, _NUMBER, _WHITE = 0, 1, 2, 3
 # fixed values: Unicode White_Space
@@ -166,13 +166,8 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def coder(path: str) -> ByteBpe:
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe.from_file(path)
-    return _LOADED[path]
+    return kept(path, lambda: ByteBpe.from_file(path))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +177,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
         ids, at = coder(ranks_path).encode(texts)
         return [[ids[a:b] for a, b in zip(at[:-1], at[1:])]]
 
-    return map_texts(docs, work, [T.StructField("ids", T.ArrayType(T.IntegerType()))], id_col, text_col)
+    return map_texts(docs, work, [T.StructField("ids", T.ArrayType(T.IntegerType()))], id_col, text_col, keeps=ranks_path)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +194,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
         return [sizes, digests, back]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return map_texts(docs, work, fields, id_col, text_col)
+    return map_texts(docs, work, fields, id_col, text_col, keeps=ranks_path)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.llm.texts import slices
+from tidewatch.llm.texts import only, slices
 from tidewatch.runtime import ship
 
 WINDOW = 10
@@ -164,6 +164,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
+            only(None)
             own = SuffixAutomaton(shared.value)
             for batch in batches:
                 for part, texts in slices(batch, 1):

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.llm.components import components
 from tidewatch.llm.sketches import COUNT_BITS, PIECES, bloom, count_pieces, gather, may_hold
-from tidewatch.llm.texts import map_texts, slices
+from tidewatch.llm.texts import map_texts, only, slices
 from tidewatch.runtime import cut, free_shuffles, release, ship
 
 N, PERCENT = 5, 80
@@ -105,6 +105,7 @@ class JaccardJoin:
         n, arrow = self.n, to_arrow_schema(schema)
 
         def run(batches):
+            only(None)
             shingler = Shingler(n)
             for batch in batches:
                 if rows is not None:
@@ -123,6 +124,7 @@ class JaccardJoin:
         n = self.n
 
         def run(batches):
+            only(None)
             shingler, counts = Shingler(n), np.zeros(1 << COUNT_BITS, np.uint32)
             for batch in batches:
                 for part, texts in slices(batch, 1, 1_500_000):

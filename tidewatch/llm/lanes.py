@@ -23,7 +23,7 @@ _MULT = np.int64(-0x61C8864680B583EB)  # odd; products wrap
 class Lanes:
     """``bits``: symbols are below ``2**bits``.  ``most_states`` bounds the table; it is dropped between runs."""
 
-    def __init__(self, spec, bits: int, most_states: int = 200_000):
+    def __init__(self, spec, bits: int, most_states: int = 150_000):
         self.spec, self.bits, self.most_states = spec, bits, most_states
         self._clear()
 

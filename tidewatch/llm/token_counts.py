@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.bpe import Merges
 from tidewatch.llm.lanes import Lanes
-from tidewatch.llm.texts import map_texts
+from tidewatch.llm.texts import kept, map_texts
 
 SPACE = "▁"
 _SEPARATOR = "\ud800"  # a lone surrogate, which no text can hold
@@ -68,13 +68,8 @@ class CountingTransducer:
         return np.add.reduceat(count, np.flatnonzero(separator)) if texts else np.zeros(0, np.int64)
 
 
-_COMPILED: dict[str, CountingTransducer] = {}
-
-
 def transducer(path: str) -> CountingTransducer:
-    if path not in _COMPILED:
-        _COMPILED[path] = CountingTransducer.from_sentencepiece(path)
-    return _COMPILED[path]
+    return kept(path, lambda: CountingTransducer.from_sentencepiece(path))
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -85,7 +80,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         return [[len(x.encode()) for x in texts], n, n > limit]
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return map_texts(docs, work, fields, id_col, text_col)
+    return map_texts(docs, work, fields, id_col, text_col, keeps=model_path)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

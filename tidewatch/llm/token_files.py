@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.llm.texts import slices
+from tidewatch.llm.texts import kept, slices
 from tidewatch.runtime import shared_dir, ship
 
 FRAME_BYTES = 1 << 18
@@ -191,13 +191,8 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(path, lambda: WordEncoder(path))
 
 
 def _open(folder: str):
