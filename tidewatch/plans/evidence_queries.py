@@ -46,6 +46,12 @@ def candidates(spark, d):
 _CAND = "cand AS (SELECT concat('10.0.0.', event_id % 40) AS src_ip, concat('1.2.3.', event_id % 9) AS dst_ip, CASE WHEN event_id % 3 = 0 THEN 30000.0::DOUBLE WHEN event_id % 3 = 1 THEN 10000.0 ELSE 32000.0 END AS p FROM ev WHERE event_id < 40)"
 
 
+def every_candidate(spark, d):
+    """One candidate for each pair of the whole table; ``candidates`` and its SQL hold the first 40 events only."""
+    e = F.col("event_id")
+    return events(spark, d).select(F.concat(F.lit("10.0.0."), e % 40).alias("src_ip"), F.concat(F.lit("1.2.3."), e % 9).alias("dst_ip"), F.when(e % 3 == 0, 30000.0).when(e % 3 == 1, 10000.0).otherwise(32000.0).alias("dominant_period_s")).distinct()
+
+
 def http(spark, d):
     i = F.col("page_id")
     return table(spark, d, "pages").select(
@@ -340,6 +346,35 @@ def corroborate(spark, d):
     return C.corroborate(candidates(spark, d), dns(spark, d), http(spark, d), ssl(spark, d)).select("src_ip", "dst_ip", F.col("h1_dns_regularity").alias("h1"), "dns_score")
 
 
+# DNS and corroboration over every pair of the table
+
+
+@query()
+def dns_min_obs_all(spark, d):
+    return every_candidate(spark, d).join(F.broadcast(C.dns_window(dns(spark, d)))).select("src_ip", C.min_observations(F.col("window_s"), F.col("dominant_period_s")).alias("n"))
+
+
+@query()
+def h1_dns_regularity_all(spark, d):
+    q = dns(spark, d)
+    return C.h1_matches(every_candidate(spark, d), C.dns_regularity(q), C.dns_window(q, 0.0))
+
+
+@query()
+def h1_best_domain_all(spark, d):
+    return h1_dns_regularity_all(spark, d).where("rank = 1").select("src_ip", "dst_ip", F.col("query").alias("best"), "delta")
+
+
+@query()
+def dns_score_all(spark, d):
+    return C.score_dns(every_candidate(spark, d), dns(spark, d)).select("src_ip", "dst_ip", F.col("h1_dns_regularity").alias("h1"), F.col("h2_dns_anomaly").alias("h2"), "dns_score")
+
+
+@query()
+def corroborate_all(spark, d):
+    return C.corroborate(every_candidate(spark, d), dns(spark, d), http(spark, d), ssl(spark, d)).select("src_ip", "dst_ip", F.col("h1_dns_regularity").alias("h1"), "dns_score")
+
+
 # evaluation and data
 
 
