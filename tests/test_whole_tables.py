@@ -26,3 +26,10 @@ def test_every_pair_is_a_candidate(spark, duck, name):  # noqa: F811
     whole, part = same(spark, duck, name, [("cand AS (SELECT concat", "cand AS (SELECT DISTINCT concat"), (" FROM ev WHERE event_id < 40", " FROM ev")])
     print(name, part, "->", whole)
     assert whole >= part and (name not in ("dns_score", "corroborate") or whole == 360)
+
+
+@pytest.mark.parametrize("name", ["eval_or_join", "eval_prf"])
+def test_every_label_and_detection(spark, duck, name):  # noqa: F811
+    whole, part = same(spark, duck, name, [(" FROM customer WHERE c_custkey < 30", " FROM customer"), (" FROM orders WHERE o_orderkey < 300", " FROM orders")])
+    print(name, part, "->", whole)
+    assert whole > part or name == "eval_prf"

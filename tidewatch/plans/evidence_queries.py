@@ -398,6 +398,23 @@ def eval_prf(spark, d):
     return synth.evaluate(*_truth(spark, d))
 
 
+def _whole_truth(spark, d):
+    """Labels of every customer, detections of every order; ``_truth`` and its SQL hold the least ids only."""
+    i = F.col("c_custkey")
+    labels = table(spark, d, "customer").select(F.concat(F.lit("s"), i).alias("scenario"), (i % 3 != 0).alias("malicious"), F.concat(F.lit("10.0.0."), i).alias("src_ip"), F.concat(F.lit("d"), i * 7).alias("dst_ip"))
+    return scored(spark, d).select(F.concat("src_ip", F.lit("→"), "dst_ip").alias("pair_id"), "src_ip", "dst_ip"), labels
+
+
+@query()
+def eval_or_join_all(spark, d):
+    return synth.matches_truth(*_whole_truth(spark, d))
+
+
+@query()
+def eval_prf_all(spark, d):
+    return synth.evaluate(*_whole_truth(spark, d))
+
+
 @query()
 def synthetic_conn(spark, d):
     return synth.generate(spark, days=1, bg_rows_per_day=500, noisy_rows_per_day=50)["conn"]
