@@ -46,9 +46,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     join = JaccardJoin(docs)
     found = cut(join.run(), "found")
-    # of rows with the least id, the one with the least digest stays
-    least = found.where("n > 0").where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("component").alias("c")).agg(F.min("key").alias("k"))
-    lost = found.where("n > 0").join(least, F.col("component").eqNullSafe(F.col("c")), "left").where(~(F.col("id").eqNullSafe(F.col("component")) & F.col("key").eqNullSafe(F.col("k"))))
+    # of each group the least id stays (null is the greatest), of rows with that id the one with the least digest
+    least = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k"))
+    lost = found.where("n > 0").join(least, "label").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("key") == F.col("k.key"))))
     lost = lost.select(F.col("id").alias("_id"), F.col("key").alias("_lost")).distinct()
     keyed = join.keyed(_tagged(docs))
     kept = keyed.join(lost, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_lost")), "left_anti")

@@ -60,3 +60,13 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/full/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_group_keeps_one_document(spark):
+    """Null ids and ids that repeat with unlinked texts are no reason to lose a group."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    a, b, c, d = map(text, "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (9, c), (7, d), (12, d), (None, d), (None, ""), (None, None), (3, text("e")), (3, text("f")), (20, text("f"))]
+    got = C.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(None, a), (None, b), (7, c), (7, d), (None, ""), (None, None), (3, text("e")), (3, text("f"))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

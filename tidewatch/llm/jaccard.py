@@ -258,7 +258,7 @@ class JaccardJoin:
         return every.where((F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
 
     def run(self) -> DataFrame:
-        """(id, key, n, component) of every row."""
+        """(id, key, n, label, component) of every row; rows with words link, also by way of others, where their labels are equal."""
         rows, counts = self.rows_and_counts()
         share = self.spark.sparkContext.broadcast
         counts = share(counts)
@@ -285,7 +285,7 @@ class JaccardJoin:
         named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = named.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
         joined = named.join(least, "label", "left")
-        return joined.select("id", "key", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+        return joined.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
