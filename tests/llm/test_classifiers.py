@@ -57,3 +57,18 @@ def test_a_score_is_a_sum_of_table_entries():
     b = model.bins(x[:1])
     total = model.intercept + sum(t[i[0]] for t, i in zip(model.tables, b)) + sum(t[b[i][0], b[j][0]] for i, j, t in model.pairs)
     assert np.isclose(model.score(x[:1])[0], 1 / (1 + np.exp(-total)))
+
+
+def noise(n, share):
+    """Texts that tell nothing, with ones at a known share."""
+    r = random.Random(5)
+    texts, _, _ = make(n, seed=9)
+    return texts, [int(r.random() < share) for _ in range(n)]
+
+
+def test_quality_holds_for_the_odds_of_all_labels(spark):
+    texts, y = noise(3000, 0.86)
+    d, labels = tables(spark, texts, y, y)
+    model = quality.fit_quality(d, labels, quality.learns, most_rows=300)
+    got = [r.score for r in quality.score_quality(d, model).collect()]
+    assert abs(np.mean(got) - np.mean(y)) < 0.1

@@ -5,7 +5,8 @@ boosted in turn with a small rate, add up to one lookup table per number; then t
 the largest remaining gain are boosted the same way.  A score is an intercept plus table entries.
 
 The model is fitted on the driver on at most ``MOST_ROWS`` labelled rows of each class, of which only the
-numbers are collected.  Null and empty texts have all numbers 0 and get a score like any other.  Without
+numbers are collected; the intercept is then moved to the odds of all learnable labels, so that a score means
+the same whatever was left out.  Null and empty texts have all numbers 0 and get a score like any other.  Without
 labels every score is 0.5; with one class alone, that class's share.  Repeated rows get a row each.
 """
 
@@ -146,11 +147,13 @@ _NUMBERS = [T.StructField("x", T.ArrayType(T.DoubleType()))]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, target: str = "quality", most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Gam:
-    rows = labelled_rows(docs, labels, target, learn, {0: most_rows, 1: most_rows}, id_col, text_col)
+    rows, shift = labelled_rows(docs, labels, target, learn, {0: most_rows, 1: most_rows}, id_col, text_col)
     tagged = rows.select(F.struct("_id", "y").alias("tag"), "_text")
     seen = map_texts(tagged, lambda texts: [[features(x) for x in texts]], _NUMBERS, "tag", "_text").select("tag.y", "tag._id", "x").collect()
     seen.sort(key=lambda r: (r._id, r.y, r.x))
-    return Gam.fit(np.array([r.x for r in seen]).reshape(-1, len(NAMES)), np.array([r.y for r in seen], float))
+    model = Gam.fit(np.array([r.x for r in seen]).reshape(-1, len(NAMES)), np.array([r.y for r in seen], float))
+    model.intercept += shift
+    return model
 
 
 def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

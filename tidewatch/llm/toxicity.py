@@ -148,7 +148,7 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
-    rows = labelled_rows(docs, labels, target, learn, {1: MOST_TOXIC, 0: MOST_ORDINARY}, id_col, text_col).collect()
+    rows = labelled_rows(docs, labels, target, learn, {1: MOST_TOXIC, 0: MOST_ORDINARY}, id_col, text_col)[0].collect()
     return Toxicity.fit([(r[1] or "", r[2]) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[2], r[1] or ""))])
 
 
