@@ -72,3 +72,13 @@ def test_quality_holds_for_the_odds_of_all_labels(spark):
     model = quality.fit_quality(d, labels, quality.learns, most_rows=300)
     got = [r.score for r in quality.score_quality(d, model).collect()]
     assert abs(np.mean(got) - np.mean(y)) < 0.1
+
+
+def test_toxicity_holds_for_the_odds_of_all_labels(spark, monkeypatch):
+    texts, y = noise(3000, 0.11)
+    d, labels = tables(spark, texts, y, y)
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 200)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 400)
+    model = toxicity.fit_toxicity(d, labels, toxicity.learns)
+    got = [r.score for r in toxicity.score_toxicity(d, model).collect()]
+    assert abs(np.mean(got) - np.mean(y)) < 0.08, np.mean(got)

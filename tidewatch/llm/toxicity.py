@@ -9,7 +9,7 @@ and sums of the savings over all windows of a text give its score by a logistic
 on training rows kept out of the dictionaries.
 
 All are fitted on the driver on at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows.  Near copies
-count once there.  Null and empty texts have no window and score like a text that saves nothing.
+count once there.  The intercept is then moved to the odds of all learnable labels.  Null and empty texts have no window and score like a text that saves nothing.
 Without toxic or ordinary training rows every score is the toxic share (0.5 without any rows).
 """
 
@@ -148,8 +148,10 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
-    rows = labelled_rows(docs, labels, target, learn, {1: MOST_TOXIC, 0: MOST_ORDINARY}, id_col, text_col)[0].collect()
-    return Toxicity.fit([(r[1] or "", r[2]) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[2], r[1] or ""))])
+    rows, shift = labelled_rows(docs, labels, target, learn, {1: MOST_TOXIC, 0: MOST_ORDINARY}, id_col, text_col)
+    model = Toxicity.fit([(r[1] or "", r[2]) for r in sorted(rows.collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[2], r[1] or ""))])
+    model.weights = (model.weights[0] + shift, *model.weights[1:])
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
