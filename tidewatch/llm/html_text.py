@@ -1,4 +1,8 @@
-"""Main text of web pages by equivalence classes of their markup.
+"""Main text of web pages by a heuristic on roles of their markup.
+
+Not equivalence-class template deduction: the vectors below are computed, but no result depends on them, no class is
+validated or nested, and text repeated on all pages of a host is not taken out.  What decides is how many pages a role
+stands on, element and class names, and where the text lies.
 
 A token is a structural element in its role: the path of structural elements from the root, each with its
 first class.  Over the pages of a host every role has an occurrence vector (how often it stands on each
