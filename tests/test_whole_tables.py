@@ -3,6 +3,7 @@
 import pytest
 
 from tests.test_queries import FOLDER, duck, plain, pytestmark, rows  # noqa: F401
+from tidewatch.operators import corroborate as C
 from tidewatch.plans import catalog
 
 
@@ -33,3 +34,9 @@ def test_every_label_and_detection(spark, duck, name):  # noqa: F811
     whole, part = same(spark, duck, name, [(" FROM customer WHERE c_custkey < 30", " FROM customer"), (" FROM orders WHERE o_orderkey < 300", " FROM orders")])
     print(name, part, "->", whole)
     assert whole > part or name == "eval_prf"
+
+
+def test_server_names_count_with_repeats(spark):
+    data = [("a", "b", "aaaa")] * 300 + [("a", "b", "xyzw.vut"), ("a", "c", "aaaa"), ("a", "c", "xyzw.vut"), ("a", "d", "x"), ("a", "d", None), ("a", "d", "-")]
+    got = C.sni_stability(spark.createDataFrame(data, "src_ip string, dst_ip string, server_name string"), ["src_ip", "dst_ip"]).collect()
+    assert {(r.dst_ip, r.n_sni, r.sni_stable) for r in got} == {("b", 301, True), ("c", 2, False), ("d", 1, True)}

@@ -157,8 +157,14 @@ def score_http(candidates: DataFrame, http: DataFrame, cfg: Settings | None = No
 def sni_stability(rows: DataFrame, key: list[str], threshold: float = 1.0) -> DataFrame:
     """(key, n_sni, sni_stable): one server name, or names of so few characters that their entropy is low."""
     named = rows.where(F.col("server_name").isNotNull() & ~F.col("server_name").isin("", "-"))
-    agg = named.groupBy(*key).agg(F.count("*").alias("n_sni"), F.count_distinct("server_name").alias("_d"), F.substring(F.array_join(F.collect_set("server_name"), " "), 1, 4096).alias("_all"))
-    return agg.select(*key, "n_sni", ((F.col("_d") == 1) | (string_entropy("_all") < threshold)).alias("sni_stable"))
+    names = named.groupBy(*key, "server_name").agg(F.count("*").alias("_c"))
+    agg = names.groupBy(*key).agg(F.sum("_c").alias("n_sni"), F.count("*").alias("_d"))
+    # the entropy of all names with repeats, joined by spaces, from counts of characters
+    chars = names.select(*key, "_c", F.explode(F.filter(F.split(F.lower("server_name"), ""), lambda x: x != "")).alias("_ch"))
+    spaces = agg.select(*key, (F.col("n_sni") - 1).alias("_c"), F.lit(" ").alias("_ch")).where("_c > 0")
+    counts = chars.unionByName(spaces).groupBy(*key, "_ch").agg(F.sum("_c").alias("_c"))
+    entropy = counts.groupBy(*key).agg((F.log2(F.sum("_c")) - F.sum(F.col("_c") * F.log2("_c")) / F.sum("_c")).alias("_e"))
+    return agg.join(entropy, key).select(*key, "n_sni", ((F.col("_d") == 1) | (F.col("_e") < threshold)).alias("sni_stable"))
 
 
 def score_tls(candidates: DataFrame, ssl: DataFrame, cfg: Settings | None = None) -> DataFrame:
