@@ -4,56 +4,49 @@ Greedy merging gives every prefix of a text one last token.  A split of a text i
 encoder's own exactly if each token encodes to itself and each pair of neighbours, joined, encodes to
 that pair.  So the last token of a prefix is the only token that ends there and fits behind the last
 token of what stands before it.  What later symbols can ask about a prefix is finite: the starts from
-which some token may still grow, each with the token before it.  That is the state of :class:`Merges`.
+which some token may still grow, each with the token before it.  That is the state of :class:`Transducer`.
+
+Tables are keyed by packed integers and states are kept as packed bytes, which takes about a third of
+what tuples take.
 """
 
 from __future__ import annotations
 
+from array import array
+
 NONE = -1  # "no token before": nothing can merge across
 _TOP = 1 << 60
+SYMBOL_BITS = 12
+_MOST_PAIRS = 60_000
 
 
 class Merges:
-    """``tokens``: symbols (a tuple) -> rank; two neighbours merge if their join is a token, lowest rank first, then leftmost.
+    """``tokens``: symbols (bytes, or a tuple of numbers) -> rank; two neighbours merge if their join is a token,
+    lowest rank first, then leftmost.  Single symbols are no merges."""
 
-    Single symbols are no merges.  ``counts``: states know how many tokens the prefixes behind the open starts
-    have, and a step emits by how much the number of tokens changes.
-    """
-
-    def __init__(self, tokens: dict, counts: bool):
-        self.counts = counts
+    def __init__(self, tokens: dict):
         self.text = list(tokens)
+        self.longest = max(map(len, self.text), default=0)
         self.number = {x: i for i, x in enumerate(self.text)}
         self.rank = [tokens[x] if len(x) > 1 else -1 for x in self.text]
         self.left, self.right, self.own = [NONE] * len(self.text), [NONE] * len(self.text), [False] * len(self.text)
-        self.inside: set = set()
         for i, x in enumerate(self.text):
-            self.inside.update(zip(x, x[1:]))
             if len(x) == 1:
                 self.own[i] = True
                 continue
             parts, last = self.merge(x)
             if len(parts) == 1:
                 self.own[i], (self.left[i], self.right[i]) = True, last
-        self.child: dict = {}
-        self.ends, self.open = [NONE], [False]
-        for i, x in enumerate(self.text):
-            if self.own[i]:
-                at = 0
-                for c in x:
-                    self.open[at] = True
-                    to = self.child.get((at, c))
-                    if to is None:
-                        to = self.child[at, c] = len(self.ends)
-                        self.ends.append(NONE)
-                        self.open.append(False)
-                    at = to
-                self.ends[at] = i
-        self.memo: dict = {}
+        self.rank, self.left, self.right, self.own = array("i", self.rank), array("i", self.left), array("i", self.right), bytearray(self.own)
+        self.heads = dict(self.number)  # beginnings of tokens, too
+        for x in self.text:
+            for k in range(len(x) - 1, 0, -1):
+                self.heads.setdefault(x[:k], NONE)
+        self.memo: dict[int, bool] = {}
 
-    def merge(self, symbols: tuple) -> tuple[list[int], tuple | None]:
+    def merge(self, symbols) -> tuple[list[int], tuple | None]:
         """Plain greedy merging; the tokens and the last merge made."""
-        parts, made = [self.number[(c,)] for c in symbols], None
+        parts, made = [self.number[symbols[i : i + 1]] for i in range(len(symbols))], None
         while True:
             best, at = _TOP, -1
             for i in range(len(parts) - 1):
@@ -68,7 +61,7 @@ class Merges:
     def fits(self, a: int, b: int) -> bool:
         """Whether the join of two tokens encodes to just these two: undo their merges, latest first, and
         look for a merge across the gap that would have come earlier."""
-        key = (a, b)
+        key = a << 22 | b
         known = self.memo.get(key)
         if known is not None:
             return known
@@ -85,22 +78,52 @@ class Merges:
                 before, b = rb + 1, self.left[b]
             else:
                 break
-        if len(self.memo) > 250_000:
+        if len(self.memo) > _MOST_PAIRS:
             self.memo.clear()
         self.memo[key] = ok
         return ok
 
+
+class Transducer(Merges):
+    """States know how many tokens the prefixes behind the open starts have; a step emits by how much the number of tokens changes."""
+
+    def __init__(self, tokens: dict):
+        super().__init__(tokens)
+        self.inside = {a << SYMBOL_BITS | b for x in self.text for a, b in zip(x, x[1:])}  # neighbours within tokens
+        self.child: dict[int, int] = {}
+        self.ends, self.open = array("i", [NONE]), bytearray(1)
+        for i, x in enumerate(self.text):
+            if self.own[i]:
+                at = 0
+                for c in x:
+                    self.open[at] = True
+                    to = self.child.get(at << SYMBOL_BITS | c)
+                    if to is None:
+                        to = self.child[at << SYMBOL_BITS | c] = len(self.ends)
+                        self.ends.append(NONE)
+                        self.open.append(False)
+                    at = to
+                self.ends[at] = i
+
     def start(self) -> tuple:
         return (NONE,)
 
-    def step(self, state: tuple, c) -> tuple[tuple, int]:
+    @staticmethod
+    def pack(state) -> bytes:
+        return array("q", state).tobytes()
+
+    @staticmethod
+    def unpack(data: bytes) -> array:
+        return array("q", data)
+
+    def step(self, state, c: int) -> tuple[tuple, int]:
         """State: the last token, then each open start as one number: trie node, token before, its count less ours."""
         last = state[0]
-        if last != NONE and (self.text[last][-1], c) not in self.inside:
+        if last != NONE and self.text[last][-1] << SYMBOL_BITS | c not in self.inside:
             last = NONE
         token, more, grown = NONE, 0, []
         for code in (*state[1:], _code(0, last, 0)):
-            node = self.child.get((code >> 28, c))
+            node = self.child.get(code >> 28 << SYMBOL_BITS | c)
             if node is None:
                 continue
             before, t = (code >> 6 & 0x3FFFFF) - 1, self.ends[node]
@@ -111,8 +134,6 @@ class Merges:
                 grown.append((node, before, less))
         if token == NONE:
             raise ValueError(f"no token ends at symbol {c!r}")
-        if not self.counts:
-            return (token, *[_code(n, b, 0) for n, b, _ in grown]), 0
         return (token, *[_code(n, b, less - more) for n, b, less in grown]), more
 
 

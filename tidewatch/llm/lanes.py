@@ -1,8 +1,9 @@
 """Lazily determinised transducers that step thousands of text chunks side by side.
 
-A *specification* gives a start state and ``step(state, symbol) -> (state, emitted)`` on hashable
-state objects.  :class:`Lanes` numbers the states as they are met, keeps the transitions in an
-open-addressing table and advances one symbol in every chunk ("lane") per vectorised step.
+A *specification* gives a start state, ``step(state, symbol) -> (state, emitted)`` and ``pack``/``unpack``
+between states and bytes.  :class:`Lanes` numbers the states as they are met, keeps the transitions in an
+open-addressing table and advances one symbol in every chunk ("lane") per vectorised step.  The table is
+bounded: it is dropped before a run that finds it too large, and a run adds one state a symbol at most.
 
 Chunks have equal lengths and so begin at arbitrary places.  The map of a chunk from its entry state
 to (exit state, outputs) is constant behind the chunk's first reset, a place where the state is known
@@ -21,22 +22,22 @@ _MULT = np.int64(-0x61C8864680B583EB)  # odd; products wrap
 
 
 class Lanes:
-    """``bits``: symbols are below ``2**bits``.  ``most_states`` bounds the table; it is dropped between runs."""
+    """``bits``: symbols are below ``2**bits``.  ``most_states``: beyond these the table is dropped before the next run."""
 
-    def __init__(self, spec, bits: int, most_states: int = 150_000):
+    def __init__(self, spec, bits: int, most_states: int = 200_000):
         self.spec, self.bits, self.most_states = spec, bits, most_states
         self._clear()
 
     def _clear(self) -> None:
-        self.objects: list = [self.spec.start(), None]
-        self.ids = {self.objects[0]: START}
+        self.objects: list[bytes] = [self.spec.pack(self.spec.start()), b""]
+        self.ids: dict[bytes, int] = {self.objects[0]: START}
         self.power, self.used = 14, 0
         self._alloc()
 
     def _alloc(self) -> None:
         size = 1 << self.power
         self.keys = np.full(size, -1, np.int64)
-        self.to = np.zeros(size, np.int64)
+        self.to = np.zeros(size, np.int32)
         self.out = np.zeros(size, np.int8)
 
     def _hash(self, key: np.ndarray) -> np.ndarray:
@@ -44,10 +45,10 @@ class Lanes:
 
     def _insert(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
         """Distinct new keys."""
-        if (self.used + keys.size) * 3 > (1 << self.power):
+        if (self.used + keys.size) * 2 > (1 << self.power):
             old = self.keys >= 0
             k, t, o = self.keys[old], self.to[old], self.out[old]
-            while (self.used + keys.size) * 5 > (1 << self.power):
+            while (self.used + keys.size) * 4 > (1 << self.power):
                 self.power += 1
             self._alloc()
             self.used = 0
@@ -66,13 +67,14 @@ class Lanes:
             slot[todo] = (slot[todo] + 1) & mask
 
     def _learn(self, keys: np.ndarray) -> None:
-        to, out = np.empty(keys.size, np.int64), np.empty(keys.size, np.int8)
+        to, out = np.empty(keys.size, np.int32), np.empty(keys.size, np.int8)
         for i, key in enumerate(keys.tolist()):
             state, symbol = key >> self.bits, key & ((1 << self.bits) - 1)
             if state == DEAD:
                 to[i], out[i] = DEAD, 0
                 continue
-            new, out[i] = self.spec.step(self.objects[state], symbol)
+            new, out[i] = self.spec.step(self.spec.unpack(self.objects[state]), symbol)
+            new = self.spec.pack(new)
             n = self.ids.get(new)
             if n is None:
                 n = self.ids[new] = len(self.objects)
@@ -98,7 +100,7 @@ class Lanes:
             if keep is not None:
                 state = state * keep[t]
             slot = self._find((state << self.bits) | symbols[t])
-            state = self.to[slot]
+            state = self.to[slot].astype(np.int64)
             states[t], outs[t] = state, self.out[slot]
         return state
 
@@ -112,22 +114,22 @@ class Lanes:
         chunk = chunk or int(min(1024, max(32, n // 4096)))
         lanes = -(-n // chunk)
         pad = lanes * chunk - n
-        s = np.pad(symbols.astype(np.int64), (0, pad)).reshape(lanes, chunk).T.copy()
+        s = np.pad(symbols.astype(np.int16), (0, pad)).reshape(lanes, chunk).T.copy()
         r = np.pad(reset, (0, pad), constant_values=True).reshape(lanes, chunk).T.copy()
         r[0, 0] = True
         states, outs = np.empty((chunk, lanes), np.int32), np.empty((chunk, lanes), np.int8)
         first = np.where(r.any(axis=0), r.argmax(axis=0), chunk)
-        ends = self._advance(s, (~r).astype(np.int64), np.full(lanes, DEAD, np.int64), states, outs)
+        ends = self._advance(s, ~r, np.full(lanes, DEAD, np.int64), states, outs)
         todo = np.flatnonzero(first > 0)
         while todo.size:  # each round settles every chunk whose predecessor's exit state is known
             ready = todo[ends[todo - 1] != DEAD]
             order = ready[np.argsort(-first[ready], kind="stable")]
-            state, deep = ends[order - 1], first[order]
+            state, deep = ends[order - 1].astype(np.int64), first[order]
             for t in range(int(deep[0])):
                 m = int(np.searchsorted(-deep, -t, side="left"))  # lanes whose head is longer than t
                 lane = order[:m]
                 slot = self._find((state[:m] << self.bits) | s[t, lane])
-                state = self.to[slot]
+                state = self.to[slot].astype(np.int64)
                 states[t, lane], outs[t, lane] = state, self.out[slot]
                 whole = lane[deep[:m] == t + 1]
                 whole = whole[first[whole] == chunk]

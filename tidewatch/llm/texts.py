@@ -50,22 +50,24 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iter
         at = to
 
 
-def map_texts(df: DataFrame, work: Callable[[list[str]], list], fields: list[T.StructField], id_col: str, text_col: str, id_as: str | None = None, keeps: str | None = None) -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[list[str]], list], fields: list[T.StructField], id_col: str, text_col: str, id_as: str | None = None, keeps: str | None = None, chars: int = SLICE_CHARS, text_as: str | None = None) -> DataFrame:
     """``work`` gets the texts of a slice and returns one column (list or array) per field; ids pass through.
 
     Only the id and the text column are read, so clashing extra columns do not matter.
-    ``keeps``: the name under which ``work`` keeps a table in the worker (:func:`kept`).
+    ``keeps``: the name under which ``work`` keeps a table in the worker (:func:`kept`).  ``chars``: of a slice.
+    ``text_as``: also return the text, under this name, behind the id.
     """
     ship(df.sparkSession)
     kept = df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text"))
-    out = T.StructType([T.StructField(id_as or id_col, kept.schema["_id"].dataType), *fields])
+    echo = [T.StructField(text_as, T.StringType())] if text_as else []
+    out = T.StructType([T.StructField(id_as or id_col, kept.schema["_id"].dataType), *echo, *fields])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(keeps)
         for batch in batches:
-            for part, texts in slices(batch, 1):
-                columns = [part.column(0), *work(texts)]
+            for part, texts in slices(batch, 1, chars):
+                columns = [*part.columns[: 1 + len(echo)], *work(texts)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return kept.mapInArrow(run, out)
