@@ -55,3 +55,23 @@ def test_spans_are_cut(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(docs(spark, text), none).where("size(spans) > 0").count() == 0
     assert D.decontaminate(docs(spark, []), bench).count() == 0
+
+
+def test_a_text_read_in_parts_gives_the_same():
+    for seed in range(6):
+        text, items = cases(seed, "abc")
+        own = D.SuffixAutomaton([(str(i), D.words(t)) for i, t in items])
+        for x in text:
+            whole = own.matches(D.words(x))
+            for most in (1, 7, 30):
+                found = D.Matches(own)
+                for part, last in D.parts(x or "", most):
+                    found.read(D.words(part), last)
+                assert (found.spans, found.items, found.n_words) == (*whole, len(D.words(x)))
+
+
+def test_null_and_repeated_item_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(None, item), (7, item), (7, item + " eleven")], "item_id long, text string")
+    got = D.find_contamination(docs(spark, [item, "x"]), bench).collect()
+    assert {r.doc_id: r["items"] for r in got} == {0: ["7", None], 1: []}

@@ -5,15 +5,18 @@ each the length of the longest item passage that ends there is known.  From ``wi
 last ``window`` words occur in an item, so they are hit.  An item shorter than that counts as a whole.
 
 Items are dealt into blocks of at most ``BLOCK_WORDS`` words, each with its own broadcast and narrow pass
-over the texts, so neither the driver nor a worker ever holds more than a block's automaton.
+over the texts, written before the next one, so neither the driver nor a worker ever holds more than a
+block's automaton; a worker builds it once.  A text's words are held a part at a time.
 
 Null and empty texts have no words, are never hit and list no item.  Items without words, or null, match
-nothing; equal items all count; an empty benchmark hits nothing.  Repeated rows give a row each.
+nothing; equal items all count; items of one id count once, also the null id, which the digest leaves out;
+an empty benchmark hits nothing.  Repeated rows give a row each.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewatch.llm.texts import only, slices
-from tidewatch.runtime import ship
+from tidewatch.llm.texts import kept, only, slices
+from tidewatch.runtime import cut, release, ship
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
+PART = 500_000  # characters of a text whose words are held at a time
+_BLANK = re.compile(r"[ \n\t]")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -105,17 +110,43 @@ class SuffixAutomaton:
 
     def matches(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit passages (first word, word behind the last; joined where they touch or overlap) and the items they are of."""
-        get = self.word.get
+        found = Matches(self)
+        found.read(ws, last=True)
+        return found.spans, found.items
+
+    def matches_of(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, passages and items of a text, which is read part by part."""
+        found = Matches(self)
+        for part, last in parts(text or ""):
+            found.read(words(part), last)
+        return found.n_words, found.spans, found.items
+
+
+class Matches:
+    """What streams through an automaton: its state and match length, and what was found so far."""
+
+    def __init__(self, automaton: SuffixAutomaton):
+        self.automaton, self.spans, self.items = automaton, [], set()
+        self.n_words, self.state, self.length = 0, 0, 0
+
+    def read(self, ws: list[bytes], last: bool) -> None:
+        own, spans, items, before = self.automaton, self.spans, self.items, self.n_words
+        self.n_words += len(ws)
+        get = own.word.get
         codes = [get(w, 0) for w in ws]
-        known = np.frombuffer(np.array([0, *codes, 0], np.int32) != 0, np.int8)
+        known = np.zeros(len(codes) + 2, np.int8)
+        known[1:-1] = np.array(codes, np.int32) != 0
         edges = np.flatnonzero(np.diff(known))
         starts, ends = edges[::2], edges[1::2]
-        long = ends - starts >= self.shortest
-        spans: list[tuple[int, int]] = []
-        items: set = set()
-        nexts, links, lengths, window, cover, short = self.next, self.link, self.length, self.window, self.cover, self.short
+        long = ends - starts >= own.shortest
+        if starts.size:  # runs of known words may go on from part to part
+            long[0] |= starts[0] == 0 and before > 0
+            long[-1] |= ends[-1] == len(codes) and not last
+        nexts, links, lengths, window, cover, short = own.next, own.link, own.length, own.window, own.cover, own.short
+        state, n = (self.state, self.length) if codes and codes[0] else (0, 0)
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-            state, n = 0, 0
+            if a:
+                state, n = 0, 0
             for i in range(a, b):
                 w = codes[i]
                 to = nexts[state].get(w)
@@ -124,62 +155,93 @@ class SuffixAutomaton:
                     n = lengths[state]
                     to = nexts[state].get(w)  # the root has every known word
                 state, n = to, n + 1
-                first = i + 1
+                at = before + i + 1
+                first = at
                 if n >= window:
-                    first = i + 1 - window
-                    items |= self.holds[cover[state]]
+                    first = at - window
+                    items |= own.holds[cover[state]]
                 for size, item in short[state]:
                     if size <= n:
                         items.add(item)
-                        first = min(first, i + 1 - size)
-                if first <= i:
+                        first = min(first, at - size)
+                if first < at:
                     while spans and spans[-1][1] >= first:
                         first = min(first, spans.pop()[0])
-                    spans.append((first, i + 1))
-        return spans, items
+                    spans.append((first, at))
+        if codes:
+            self.state, self.length = (state, n) if codes[-1] else (0, 0)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+def parts(text: str, most: int | None = None) -> Iterator[tuple[str, bool]]:
+    """The text in parts that end at blanks, and whether each is the last."""
+    at, most = 0, most or PART
+    while len(text) - at > most:
+        border = _BLANK.search(text, at + most)
+        if border is None:
+            break
+        yield text[at : border.start()], False
+        at = border.start()
+    yield text[at:], True
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple], bool]]:
+    """Items, streamed through the driver one block at a time, and whether a block is the last."""
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         ws = words(row.t)
         if size and size + len(ws) > BLOCK_WORDS:
-            yield block
+            yield block, False
             block, size = [], 0
         if ws:
-            block.append((str(row.i), ws))
+            block.append((None if row.i is None else str(row.i), ws))
             size += len(ws)
-    yield block
+    yield block, True
 
 
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, n_words, spans array<struct<start, end>> in words, items array<string>) of every row, and the text if asked for."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edit=None) -> DataFrame:
+    """(id, n_words, spans array<struct<start, end>> in words, items array<string>) of every row.
+
+    ``edit(text, n_words, spans)``: instead, (id, text) of the rows for which it doesn't return ``False``.
+    All but the last block's findings are written, so no task ever runs two passes and a block's broadcast can go.
+    """
     spark = docs.sparkSession
     ship(spark)
-    out = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema, arrow = out.schema, to_arrow_schema(out.schema)
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            only(None)
-            own = SuffixAutomaton(shared.value)
+    now = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("_text"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    found = T.StructType([now.schema[id_col], T.StructField("n_words", T.LongType()), now.schema["spans"], now.schema["items"]])
+    edited = T.StructType([now.schema[id_col], T.StructField("text", T.StringType())])
+    for block, last in _blocks(benchmark, item_id, item_text):
+        shared, name = spark.sparkContext.broadcast(block), f"automaton-{uuid.uuid4().hex}"
+        schema = (edited if edit else found) if last else now.schema
+
+        def run(batches, shared=shared, name=name, last=last, arrow=to_arrow_schema(schema)):
+            only(name)
+            own = kept(name, lambda: SuffixAutomaton(shared.value))
             for batch in batches:
                 for part, texts in slices(batch, 1):
                     sizes, spans, items = [], [], []
-                    for text, old, had in zip(texts, part.column(3).to_pylist(), part.column(4).to_pylist()):
-                        ws = words(text)
-                        new, more = own.matches(ws)
-                        sizes.append(len(ws))
-                        spans.append(join_spans([*((s["start"], s["end"]) for s in old), *new]))
-                        items.append(sorted({*had, *more}))
-                    columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], arrow.field(3).type), pa.array(items, arrow.field(4).type)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-        out = out.mapInArrow(run, schema)
-    return out if keep_text else out.drop("_text")
+                    for text, old, had in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+                        n, new, more = own.matches_of(text)
+                        sizes.append(n)
+                        spans.append(join_spans([*((s["start"], s["end"]) for s in old), *new]) if old else new)
+                        items.append(sorted({*had, *more}, key=lambda x: (x is None, x or "")))
+                    if last and edit:
+                        new = [edit(*x) if x[2] else x[0] for x in zip(part.column(1).to_pylist(), sizes, spans)]
+                        stays = pa.array([x is not False for x in new])
+                        yield pa.RecordBatch.from_arrays([part.column(0).filter(stays), pa.array([x for x in new if x is not False], pa.string())], schema=arrow)
+                        continue
+                    passages = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], arrow.field(2).type)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()) if last else part.column(1), passages, pa.array(items, arrow.field(3).type)], schema=arrow)
+
+        out = now.mapInArrow(run, schema)
+        if last:
+            return out
+        before, now = now, cut(out, "passages")
+        release(before)
+        shared.destroy()
+    raise AssertionError("there is always a last block")
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -196,7 +258,9 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of ``spans`` and what stands between them."""
     data = text.encode()
     marked = np.frombuffer(data.translate(_TABLE), np.uint8) != 32
-    edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
+    edge = np.zeros(marked.size + 2, np.int8)
+    edge[1:-1] = marked
+    edge = np.diff(edge)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out, at = [], 0
     for a, b in spans:
@@ -205,22 +269,14 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW, most_covered: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of the rows that stay: hit passages of ``least_words`` words or more are cut out; a row of
-    whose words more than ``most_covered`` are hit goes.  A shorter passage is a whole short item and is cut as well."""
-    found = find_contamination(docs, benchmark, id_col, text_col, keep_text=True)
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where(covered <= F.col("n_words") * most_covered)
-    schema = T.StructType([kept.schema[id_col], T.StructField("text", T.StringType())])
-    arrow = to_arrow_schema(schema)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_covered: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) of the rows that stay: hit passages are cut out, those of whole short items too; a row of
+    whose words more than ``most_covered`` are hit goes."""
 
-    def run(batches):
-        for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            texts = [cut_words(x, [(s["start"], s["end"]) for s in spans]) if spans else x for x, spans in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=arrow)
+    def edit(text: str, n_words: int, spans: list[tuple[int, int]]):
+        return cut_words(text, spans) if sum(b - a for a, b in spans) <= n_words * most_covered else False
 
-    return kept.select(id_col, "_text", "spans").mapInArrow(run, schema)
+    return find_contamination(docs, benchmark, id_col, text_col, edit=edit)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
