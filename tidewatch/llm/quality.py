@@ -156,13 +156,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, target: str = "qualit
     return model
 
 
-def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; a narrow map."""
+def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", text_as: str | None = None) -> DataFrame:
+    """(id, score) of every row, and the text if a name is given for it; a narrow map."""
 
     def work(texts: list[str]) -> list:
         return [model.score(np.array([features(x) for x in texts]).reshape(-1, len(NAMES)))]
 
-    return map_texts(docs, work, [T.StructField("score", T.DoubleType())], id_col, text_col)
+    return map_texts(docs, work, [T.StructField("score", T.DoubleType())], id_col, text_col, text_as=text_as)
 
 
 def learns(id_col):
