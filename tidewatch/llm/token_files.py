@@ -10,6 +10,10 @@ Documents are range-partitioned by id (ties: by text), so shards are in order an
 cannot fill one; a shard is written under a name of the attempt and then renamed, so a lost or repeated
 task leaves the same file.  Only the shards' sizes reach the driver.
 
+Shards are sized by the bytes of their texts, and so are their indexes.  The index holds ids as JSON, so ids
+are whole numbers, strings or null; other types are refused.  A text's words are encoded a part at a time;
+its ids are held whole.
+
 Null and empty texts have just the end id.  Null ids come first.  Repeated rows are separate documents.
 An empty table writes no shard and returns no row.
 """
@@ -36,6 +40,9 @@ from tidewatch.llm.texts import kept, slices
 from tidewatch.runtime import shared_dir, ship
 
 FRAME_BYTES = 1 << 18
+PART = 500_000  # characters of a text whose words are held at a time
+# bytes of text in a shard: up to MOST_SHARDS shards of the least size, from there on larger ones up to the greatest
+LEAST_SHARD, GREATEST_SHARD, MOST_SHARDS, READ = 16 << 20, 256 << 20, 20_000, 4096
 # fixed values of the zstandard frame and seekable formats
 _SKIPPABLE, _SEEK_SKIPPABLE, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -123,6 +130,7 @@ class WordEncoder:
     no id spans a blank, or a letter and the mark behind it, and normalisation (composition, lower case)
     never looks across either.  Words of letters are asked for many at a time in one text and told apart
     by the ids that end words.  What is kept is bounded by ``most`` and holds no stretch over 64 characters.
+    A tokenizer that does not say so in its settings is asked for whole texts.
     """
 
     MARKS = frozenset(",.!?;:")
@@ -137,6 +145,19 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.whole = not self._splits(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _splits(says: dict) -> bool:
+        """Whether the settings are those that the short cuts are exact for."""
+        norm, pre, model = says.get("normalizer") or {}, says.get("pre_tokenizer") or {}, says.get("model") or {}
+        steps = [(x.get("type"), x.get("content")) for x in norm.get("normalizers", [norm])]
+        cuts = [x for x in pre.get("pretokenizers", [pre]) if x.get("type") == "Split"]
+        tail = "|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        return (
+            steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and len(cuts) == 1 and cuts[0].get("pattern") == {"Regex": "'s" + tail} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+            and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] for x in says.get("added_tokens", []))
+        )
 
     @staticmethod
     def _root(word: str) -> str | None:
@@ -177,6 +198,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
+        if self.whole:
+            return self._ask(texts)
+        if len(texts) == 1 and len(texts[0]) > PART:
+            return [b"".join(self.encode([x])[0] for x in _parts(texts[0]))]
         if len(self.known) > self.most:
             self.known.clear()
         if len(self.words) > self.most:
@@ -191,6 +216,18 @@ class WordEncoder:
         return out
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts that end at blanks, which no id spans."""
+    at = 0
+    while len(text) - at > PART:
+        to = text.find(" ", at + PART)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
 def _encoder(path: str) -> WordEncoder:
     return kept(path, lambda: WordEncoder(path))
 
@@ -204,12 +241,16 @@ def _open(folder: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[tuple[int, str, int, int]]:
     """Write all texts as shards below ``folder``; returns (shard, file, documents, ids) of each, in order.
 
-    ``shards``: by default one for each ``spark.sql.shuffle.partitions``.
+    ``shards``: by default as many as the bytes of all texts fill.
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
+    if shards is None:
+        size = kept.agg(F.sum(F.octet_length("_text") + 8)).first()[0] or 0
+        shards = max(1, -(-size // min(max(LEAST_SHARD, size // MOST_SHARDS), GREATEST_SHARD)))
+    if not isinstance(kept.schema["_id"].dataType, T.IntegralType | T.StringType | T.NullType):
+        raise TypeError(f"ids of type {kept.schema['_id'].dataType.simpleString()} cannot stand in the index")
     dealt = kept.repartitionByRange(shards, F.col("_id"), F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text"), "_text")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
     arrow, end = to_arrow_schema(schema), np.array([end_id], "<u4").tobytes()
@@ -252,9 +293,11 @@ def read_token_files(spark: SparkSession, manifest: list[tuple[int, str, int, in
                 with store.open_input_file(path) as f:
                     shard = ShardReader(f)
                     sizes = np.diff(np.concatenate([[0], shard.ends])) // 4
-                    crcs = [zlib.crc32(shard.document(i)) for i in range(len(shard.ids))]
-                starts = first + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((shard.ids, starts, sizes, crcs), arrow)], schema=arrow)
+                    starts = first + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                    for a in range(0, len(shard.ids), READ):
+                        b = min(a + READ, len(shard.ids))
+                        columns = (shard.ids[a:b], starts[a:b], sizes[a:b], [zlib.crc32(shard.document(i)) for i in range(a, b)])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
     return files.mapInArrow(run, schema)
 
