@@ -45,6 +45,60 @@ def test_template_of_a_host(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def boiler(k):
+    own = f"Story number {k} has words of its own, {k * 7} and {k * 13} among them, and goes on."
+    return f'<div><div class="x1"><p>The same first line</p><p>The same second line</p></div><div class="x2"><p>{own}</p></div><div class="x3">The same last line</div></div>', own
+
+
+def hosts(spark, bodies):
+    return spark.createDataFrame([(k, "http://plain.example/", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def test_boilerplate_is_found_by_classes_not_by_names(spark):
+    bodies = [boiler(k) for k in range(12)]
+    df = hosts(spark, [b for b, _ in bodies])
+    assert {r.page_id: r.text for r in H.extract_pages(df.unionByName(df.limit(3))).collect()} == {k: own for k, (_, own) in enumerate(bodies)}
+
+
+def test_text_in_a_class_without_markup_stays(spark, monkeypatch):
+    """A paragraph on most pages has a vector that no markup has; were all vectors equal, it would count as template."""
+    bodies = [boiler(k) for k in range(12)]
+    often = "A quotation that many of the stories have."
+    df = hosts(spark, [b.replace("</p></div><div class=\"x3\">", f"</p><p>{often}</p></div><div class=\"x3\">") if k % 3 else b for k, (b, _) in enumerate(bodies)])
+    want = {k: own + (f"\n\n{often}" if k % 3 else "") for k, (_, own) in enumerate(bodies)}
+    assert {r.page_id: r.text for r in H.extract_pages(df).collect()} == want
+    with monkeypatch.context() as m:
+        m.setattr(H.F, "bit_xor", lambda c: H.F.max(H.F.lit(0).cast("long")))
+        assert {r.page_id: r.text for r in H.extract_pages(df).collect()} != want
+
+
+def test_a_class_out_of_order_is_no_template(spark):
+    """Two lines that change places are not of the template, though they stand on every page."""
+    bodies = []
+    for k in range(12):
+        lines = ["<p>An answer that comes first or last.</p>", "<p>A question that comes last or first.</p>"]
+        bodies.append(f"<div><p>Own text of page {k}, which is long enough to be most of what is left, {k * 31}.</p>{''.join(lines[:: 1 if k % 2 else -1])}</div>")
+    got = {r.page_id: r.text for r in H.extract_pages(hosts(spark, bodies)).collect()}
+    assert all("An answer" in x and "A question" in x for x in got.values())
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    same = "".join(f"<p>Paragraph {i} of an article that all pages have, word for word.</p>" for i in range(20))
+    got = {r.page_id: r.text for r in H.extract_pages(hosts(spark, [f"<article>{same}<p>{k}</p></article>" for k in range(8)])).collect()}
+    assert all("Paragraph 7 of" in x and x.endswith(f"\n\n{k}") for k, x in got.items())
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<button>", '<div class="', "<div>", "<p>", "<li>", "</div>", "<td>", "<!--", "</script ", "<script>", '<a "> ', "<b \"'>", "<div></p>", "&", "<"])
+def test_reading_takes_linear_time(piece):
+    import time
+
+    for tail in ("", ">", '">', "</p>"):
+        x = piece * (1_000_000 // len(piece)) + tail
+        began = time.process_time()
+        H.extract(x)
+        assert time.process_time() - began < 15
+
+
 def test_joined_by_host_when_there_are_many(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"https://h{k % 5}.example:80/?q", page(f"<article><p>{k} {TEXT}</p></article>")) for k in range(40)], "page_id long, url string, html string")
     few = {r.page_id: r.text for r in H.extract_pages(df).collect()}
