@@ -82,3 +82,27 @@ def test_toxicity_holds_for_the_odds_of_all_labels(spark, monkeypatch):
     model = toxicity.fit_toxicity(d, labels, toxicity.learns)
     got = [r.score for r in toxicity.score_toxicity(d, model).collect()]
     assert abs(np.mean(got) - np.mean(y)) < 0.08, np.mean(got)
+
+
+def test_queries_hold_out_what_they_should(spark, tmp_path):
+    """Held-out flags, predictions and scores of both queries, and that labels of held-out rows change nothing."""
+    import zlib
+
+    texts, q, t = make(900, seed=3)
+    texts += [None, "", texts[0]]
+    ids = [*range(1000, 1900), 5000, 5001, 1000]
+    crc = lambda i, mod: zlib.crc32(str(i).encode()) % mod
+    for name, query, module, mod, held, least, y in (("toxic", toxicity.op6_toxicity, toxicity, 5, 0, 0.5, t), ("quality", quality.op8_quality, quality, 4, 2, 0.7, q)):
+        got = {}
+        for turn in ("as they are", "turned"):
+            folder = f"{tmp_path}/{name}/{turn}"
+            docs(spark, texts, ids).write.parquet(f"{folder}/documents.parquet")
+            labels = [(i, 1 - v if turn == "turned" and crc(i, mod) == held else v) for i, v in zip(ids, y)]
+            spark.createDataFrame([(i, v, v) for i, v in labels], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+            rows = query(spark, folder).collect()
+            got[turn] = sorted(map(tuple, rows))
+            assert len(rows) == len(ids) and rows[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+            assert all(r.held_out == (crc(r.doc_id, mod) == held) and r.predicted == int(r.score >= least) and 0 <= r.score <= 1 for r in rows)
+        assert got["turned"] == got["as they are"]
+        right = [p == v for (i, h, _, p), v in zip(got["turned"], [y[0], *y]) if h]
+        assert np.mean(right) > 0.9
