@@ -35,8 +35,9 @@ def segment_cost(rows: DataFrame, entity: str, segment: str, value: str = "iat")
 def segment(x: np.ndarray, penalty: float, least: int = 2, prune: str = "exact") -> list[int]:
     """Boundaries of the cheapest segmentation into pieces of ``least`` or more values.
 
-    ``prune="exact"`` drops a start once even without a penalty it costs more than the best; ``"reference"``
-    drops it once its own best and a penalty do, which nearly always leaves no boundary.
+    ``prune="exact"``: a start that even without a penalty costs more than the best at t can never win where a
+    boundary at t is allowed, so from t + ``least`` on it is dropped.  ``"reference"`` drops a start at once when its
+    own best and a penalty cost more, which nearly always leaves no boundary.
     """
     n = len(x)
     if n < 2 * least:
@@ -44,8 +45,11 @@ def segment(x: np.ndarray, penalty: float, least: int = 2, prune: str = "exact")
     y = x - x.mean()
     s1, s2 = np.concatenate([[0.0], np.cumsum(y)]), np.concatenate([[0.0], np.cumsum(y * y)])
     best, back, starts = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
+    until = np.full(n + 1, n + 1)  # where a start is dropped
     best[0] = -penalty
     for t in range(1, n + 1):
+        if prune == "exact":
+            starts = starts[until[starts] > t]
         size = t - starts
         cost = np.where(size > 1, s2[t] - s2[starts] - (s1[t] - s1[starts]) ** 2 / size, 0.0)
         ok = size >= least
@@ -53,8 +57,11 @@ def segment(x: np.ndarray, penalty: float, least: int = 2, prune: str = "exact")
             total = np.where(ok, best[starts] + cost + penalty, np.inf)
             k = int(total.argmin())
             best[t], back[t] = total[k], starts[k]
-            keep = (best[starts] + cost <= best[t]) | ~ok if prune == "exact" else best[starts] + penalty <= best[t]
-            starts = starts[keep]
+            if prune == "exact":
+                lost = starts[ok & (best[starts] + cost > best[t])]
+                until[lost] = np.minimum(until[lost], t + least)
+            else:
+                starts = starts[best[starts] + penalty <= best[t]]
         starts = np.append(starts, t)
     out, t = [], n
     while back[t] > 0:
