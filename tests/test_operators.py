@@ -179,3 +179,38 @@ def test_expressions(spark):
         X.benign_domain(F.lit("A.Google.com.")).alias("g"), X.benign_domain(F.lit("notgoogle.com")).alias("h"), X.looks_generated(F.lit("xk2j9qwzrtpl.com")).alias("i"), X.looks_generated(F.lit("wikipedia.org")).alias("j"), X.answer_ips(F.lit("['1.2.3.4', x, fe80::1]")).alias("k"),
     ).first()
     assert tuple(row) == (True, False, False, True, 0.0, 1.0, True, False, True, False, ["1.2.3.4", "fe80::1"])
+
+
+def test_segmentation_equals_a_plain_program_on_many_series():
+    import numpy as np
+
+    from tidewatch.operators.changepoint import segment
+
+    def cost(x, a, b):
+        return float(((x[a:b] - x[a:b].mean()) ** 2).sum())
+
+    r = np.random.default_rng(3)
+    for k in range(1000):
+        n, least = int(r.integers(4, 40)), int(r.choice([2, 3, 5]))
+        x = r.choice([10.0, 60.0, 300.0], size=n) * r.normal(1, 0.2, size=n) if k % 2 else np.repeat(r.normal(100, 50, size=n), r.integers(1, 6, size=n))[:n]
+        penalty = max(2 * np.log(n) * x.var() * r.choice([1, 0.3, 0.1]), 1e-9)
+        best = [-penalty] + [np.inf] * n
+        for t in range(1, n + 1):
+            best[t] = min((best[s] + cost(x, s, t) + penalty for s in range(0, t - least + 1) if best[s] < np.inf), default=np.inf)
+        edges = [0, *segment(x, penalty, least), n]
+        if n >= 2 * least:
+            assert min(b - a for a, b in zip(edges, edges[1:])) >= least
+            got = sum(cost(x, a, b) + penalty for a, b in zip(edges, edges[1:])) - penalty
+            assert np.isclose(got, best[n], rtol=1e-9, atol=1e-6 * x.var()), (k, got, best[n])
+
+
+def test_agents_as_seen_and_any_known_fingerprint(spark):
+    """Agents in order of their first time, not of the alphabet; a known fingerprint counts wherever it sorts."""
+    rows = [("a", "b", 100.0 - i, f"agent{i:02d}") for i in range(12)] + [("a", "b", 500.0, "agent11"), ("a", "c", None, None)]
+    got = {r.dst_ip: r.seen for r in corroborate.first_seen(spark.createDataFrame(rows, "src_ip string, dst_ip string, ts double, ua string"), ["src_ip", "dst_ip"], "ua").collect()}
+    assert got == {"b": [f"agent{i:02d}" for i in range(11, 1, -1)], "c": [None]}
+    known = Settings().corroboration.tls.ja3_known_c2[0]
+    prints = [f"{k:032x}" for k in range(5)] + [known]
+    ssl = spark.createDataFrame([("a", "b", float(i), "x.example", p, "F", "ok", False) for i, p in enumerate(prints)], "src_ip string, dst_ip string, ts double, server_name string, ja3 string, cert_chain_fuids string, validation_status string, resumed boolean")
+    r = corroborate.score_tls(spark.createDataFrame([("a", "b")], "src_ip string, dst_ip string"), ssl).first()
+    assert r.h6_known_c2_ja3 and known not in r.observed_ja3s and len(r.observed_ja3s) == 5

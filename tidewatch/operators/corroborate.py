@@ -127,6 +127,15 @@ def top_share(rows: DataFrame, key: list[str], value: Column) -> DataFrame:
     return counts.groupBy(*key).agg(F.max(F.struct("_c")).alias("_m"), F.sum("_c").alias("n"), F.min_by("_v", F.struct(-F.col("_c"), "_v")).alias("top")).select(*key, "top", (F.col("_m._c") / F.col("n")).alias("share"), "n")
 
 
+def first_seen(rows: DataFrame, key: list[str], value: str, most: int = 10) -> DataFrame:
+    """(key, seen): the first ``most`` different values, in the order of their first time (ties and rows without a time by value)."""
+    times = F.min("ts") if "ts" in rows.columns else F.lit(None).cast("double")
+    first = rows.groupBy(*key, F.col(value).alias("_v")).agg(times.alias("_t"))
+    order = [F.asc_nulls_last("_t"), "_v"]
+    ranked = first.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= most)
+    return ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda x: x["_v"]).alias("seen"))
+
+
 def score_http(candidates: DataFrame, http: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """(src_ip, dst_ip) with H3, H4, their details, ``http_flows`` and ``http_score``."""
     s = cfg or Settings()
@@ -136,8 +145,8 @@ def score_http(candidates: DataFrame, http: DataFrame, cfg: Settings | None = No
     rich = (string_entropy("uri") > c.uri_entropy_threshold).cast("double")
     agg = rows.groupBy(*key).agg(
         F.count("*").alias("http_flows"), plain_cv("_uri").alias("_ucv"), plain_cv("_path").alias("_pcv"), F.avg(rich).alias("_rich"), F.array_sort(F.array_except(F.collect_set(F.upper("method")), F.array(*map(F.lit, USUAL_METHODS)))).alias("_odd"),
-        F.transform(F.slice(F.array_sort(F.collect_set(F.struct(F.lit(0), F.coalesce("user_agent", F.lit(""))))), 1, 10), lambda x: x["col2"]).alias("unique_user_agents"),
     )
+    agg = agg.join(first_seen(rows.withColumn("_ua", F.coalesce("user_agent", F.lit(""))), key, "_ua").withColumnRenamed("seen", "unique_user_agents"), key, "left")
     agg = agg.join(trimmed_cv(rows, key, "_body", c.body_cv_trim_pct).withColumnRenamed("cv", "_bcv"), key, "left")
     agent = top_share(rows, key, F.coalesce("user_agent", F.lit(""))).join(global_agents(http).withColumnRenamed("user_agent", "top"), "top", "left")
     agg = agg.join(agent.select(*key, "top", "share", "freq"), key)
@@ -176,7 +185,7 @@ def score_tls(candidates: DataFrame, ssl: DataFrame, cfg: Settings | None = None
     for word in SELF_SIGNED:
         bad = bad | F.lower("validation_status").contains(word)
     agg = rows.groupBy(*key).agg(
-        F.count("*").alias("ssl_flows"), F.max(_flag(bad)).alias("self_signed"), F.avg((F.lower(F.col("resumed").cast("string")) == "true").cast("double")).alias("_res"),
+        F.count("*").alias("ssl_flows"), F.max(_flag(F.col("ja3").isin(*t.ja3_known_c2))).alias("_known"), F.max(_flag(bad)).alias("self_signed"), F.avg((F.lower(F.col("resumed").cast("string")) == "true").cast("double")).alias("_res"),
         F.slice(F.array_sort(F.collect_set(F.when(~F.col("server_name").isin("", "-"), F.col("server_name")))), 1, 10).alias("observed_snis"), F.slice(F.array_sort(F.collect_set("ja3")), 1, 5).alias("observed_ja3s"),
     )
     agg = agg.join(sni_stability(rows, key, t.sni_entropy_threshold), key, "left")
@@ -184,7 +193,7 @@ def score_tls(candidates: DataFrame, ssl: DataFrame, cfg: Settings | None = None
     certs = rows.where(F.length("cert_chain_fuids") > 0).groupBy(*key, "cert_chain_fuids").agg(F.count("*").alias("_c")).groupBy(*key).agg(F.max("_c").alias("_certs"))
     agg = agg.join(certs, key, "left")
     sni, ja3, cert = _flag(F.col("sni_stable")), _flag(F.col("_ja3") >= t.ja3_monotony_threshold), _flag(F.col("_certs") >= t.cert_reuse_min_sessions)
-    known = _flag(F.arrays_overlap("observed_ja3s", F.array(*map(F.lit, t.ja3_known_c2))))
+    known = _flag(F.col("_known"))
     absent, resumed = F.coalesce("n_sni", F.lit(0)) == 0, _flag(F.col("_res") > t.resumption_threshold)
     own = F.col("self_signed")
     d = lambda c: c.cast("double")
