@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.runtime import ship
+from tidewatch.runtime import cut, ship
 
 
 def _average_depth(n: np.ndarray) -> np.ndarray:
@@ -23,11 +23,14 @@ def _average_depth(n: np.ndarray) -> np.ndarray:
 class Forest:
     """Isolation trees as arrays: feature (-1: leaf), cut, children, size."""
 
-    def __init__(self, x: np.ndarray, trees: int = 200, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        self.sample = len(x)
-        self.trees = [self._grow(x[rng.choice(len(x), min(256 if len(x) > 256 else len(x), len(x)), replace=False)], rng) for _ in range(trees)] if len(x) else []
-        self.psi = min(256, len(x))
+    def __init__(self, trees: list[tuple]):
+        self.trees = trees
+        self.psi = max((int(t[4][0]) for t in trees), default=0)
+
+    @classmethod
+    def of(cls, x: np.ndarray, trees: int = 200, seed: int = 42) -> Forest:
+        """Trees that each see all of ``x``."""
+        return cls([cls._grow(x, np.random.default_rng([seed, k])) for k in range(trees)])
 
     @staticmethod
     def _grow(x: np.ndarray, rng) -> tuple:
@@ -54,7 +57,7 @@ class Forest:
         return tuple(map(np.array, (feature, cut, left, right, size)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0.5 - 2^(-depth / usual depth): lower is more anomalous."""
+        """-2^(-depth / usual depth): lower is more anomalous."""
         if not self.trees:
             return np.zeros(len(x))
         depth = np.zeros(len(x))
@@ -70,24 +73,44 @@ class Forest:
                 d[i] += 1
             depth += d + _average_depth(size[at])
         usual = float(_average_depth(np.array([self.psi]))[0]) or 1.0
-        return 0.5 - 2.0 ** (-depth / len(self.trees) / usual)
+        return -(2.0 ** (-depth / len(self.trees) / usual))
+
 
+def isolation_scores(channels: DataFrame, features: list[str], id_col: str = "channel_id", trees: int = 200, max_samples: int = 3000, seed: int = 42, contamination: float = 0.05) -> DataFrame:
+    """Adds ``iforest_score``: the forest's score less its ``contamination`` percentile over all rows.
 
-def isolation_scores(channels: DataFrame, features: list[str], id_col: str = "channel_id", trees: int = 200, max_samples: int = 3000, seed: int = 42) -> DataFrame:
-    """Adds ``iforest_score``.  The forest is grown on the driver from at most ``max_samples`` rows picked by a hash of the id."""
+    Each tree is grown on an executor from ``max_samples`` rows of its own (all, if there are fewer), picked from the
+    whole table by a hash of the id and the tree; the driver and the workers hold the trees only.
+    """
     spark = channels.sparkSession
     ship(spark)
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
-    rows = channels.select(F.xxhash64(id_col).alias("_h"), F.array(*values).alias("_x")).orderBy("_h", "_x").limit(max_samples).collect()
-    shared = spark.sparkContext.broadcast(Forest(np.array([r._x for r in rows], float).reshape(len(rows), len(features)), trees, seed))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    n = channels.count()
+    share = round(min(1.0, 1.3 * max_samples / max(1, n) + 100 / max(1, n)) * 1_000_000)
+    order = lambda t: F.xxhash64(id_col, t, F.lit(seed))
+    picked = channels.select(id_col, x.alias("x"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(order(t), F.lit(1_000_000)) < share)).alias("tree"))
+    picked = picked.select("tree", order(F.col("tree")).alias("h"), "x")
+
+    def grow(pdf):
+        rows = sorted(zip(pdf.h, map(tuple, pdf.x)))[:max_samples]
+        own = Forest._grow(np.array([r[1] for r in rows], float).reshape(len(rows), len(features)), np.random.default_rng([seed, int(pdf.tree.iloc[0])]))
+        return pd.DataFrame([{"tree": pdf.tree.iloc[0], **dict(zip(_PARTS, own))}])
+
+    grown = picked.groupBy("tree").applyInPandas(grow, "tree int, feature array<int>, cut array<double>, below array<int>, above array<int>, size array<int>").collect()
+    shared = spark.sparkContext.broadcast(Forest([tuple(np.array(r[c]) for c in _PARTS) for r in sorted(grown)]))
     out = T.StructType([*channels.schema.fields, T.StructField("iforest_score", T.DoubleType())])
 
     def run(frames):
         for pdf in frames:
-            x = pdf[features].astype(float).fillna(0.0).to_numpy()
-            yield pdf.assign(iforest_score=shared.value.score(x))
+            values = pdf[features].astype(float).fillna(0.0).to_numpy()
+            yield pdf.assign(iforest_score=shared.value.score(values))
+
+    scored = cut(channels.mapInPandas(run, out), "forest")
+    offset = scored.agg(F.percentile("iforest_score", F.lit(contamination)).alias("_offset"))
+    return scored.join(F.broadcast(offset)).withColumn("iforest_score", F.col("iforest_score") - F.col("_offset")).drop("_offset")
+
 
-    return channels.mapInPandas(run, out)
+_PARTS = ("feature", "cut", "below", "above", "size")
 
 
 def percentile_label(df: DataFrame, score: str = "iforest_score", contamination: float = 0.05, small_pool: int = 20, out: str = "iforest_label") -> DataFrame:
