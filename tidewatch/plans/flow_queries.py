@@ -275,7 +275,14 @@ def hhi_concentration(spark, d):
     return anomaly.concentration(table(spark, d, "lineitem"), "l_suppkey")
 
 
-@query("SELECT 'spread across many pairs' AS verdict")
+def _shares(key: str) -> str:
+    """Index and share of the five largest keys in per cent."""
+    return f"SELECT sum(c * c) / CAST(sum(c) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS h, round(sum(c) FILTER (k <= 5) * 100.0 / sum(c), 2) AS top FROM (SELECT c, row_number() OVER (ORDER BY c DESC) AS k FROM (SELECT count(*) AS c FROM lineitem GROUP BY {key}))"
+
+
+@query(f"""WITH s AS ({_shares('l_orderkey')}), d AS ({_shares('l_suppkey')}),
+said AS (SELECT [x FOR x IN [CASE WHEN round(s.h, 4) < 0.15 AND round(d.h, 4) < 0.15 THEN 'spread across many pairs' END, CASE WHEN s.top > 80 THEN 'concentrated in few sources' END, CASE WHEN d.top > 80 THEN 'concentrated in few destinations' END] IF x IS NOT NULL] AS l FROM s, d)
+SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['no strong concentration'] END) AS verdict FROM said""")
 def concentration_verdict(spark, d):
     t = table(spark, d, "lineitem")
     return anomaly.concentration_verdicts(anomaly.concentration(t, "l_orderkey"), anomaly.concentration(t, "l_suppkey"))

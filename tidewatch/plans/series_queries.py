@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch.config import Settings
 from tidewatch.operators import changepoint, periodicity, sax, triage
 from tidewatch.plans.flow_queries import QUERIES, SQL, query
 from tidewatch.plans.standins import EVENTS, FLOWS, events, flows, rounded, table
@@ -114,9 +115,16 @@ def welch_default_closed_form(spark, d):
     return periodicity.welch_closed_form(periodicity.timing(events(spark, d), "user_id", "timestamp"), "user_id").withColumns({"fft_period_s": F.coalesce("fft_period_s", F.lit(0.0)), "fft_power_ratio": F.coalesce("fft_power_ratio", F.lit(0.0))})
 
 
-@query()
+@query(f"""WITH {EVENTS}, o AS (SELECT user_id, list_sort(list(timestamp)) AS t FROM ev GROUP BY user_id),
+x AS (SELECT user_id, [t[i + 1] - t[i] FOR i IN range(1, len(t))] AS x, len(t) - 1 AS n, least(len(t) - 1, 64) AS size FROM o WHERE len(t) > 1),
+w AS (SELECT user_id, x, size, unnest(range(0, n - size + 1, size - size // 2)) AS a FROM x WHERE n >= 8),
+v AS (SELECT user_id, a, size, i, (x[a + i + 1] - list_avg(x[a + 1:a + size])) * (0.5 - 0.5 * cos(2 * pi() * i / size)) AS v FROM (SELECT *, unnest(range(0, size)) AS i FROM w)),
+f AS (SELECT user_id, size, a, k, sum(v * cos(2 * pi() * k * i / size)) AS re, sum(v * sin(2 * pi() * k * i / size)) AS im FROM (SELECT *, unnest(range(1, size // 2 + 1)) AS k FROM v) GROUP BY ALL),
+p AS (SELECT user_id, size, k, avg((re * re + im * im) * CASE WHEN 2 * k = size THEN 1 ELSE 2 END) AS p FROM f WHERE size / k >= 4.0 GROUP BY ALL),
+q AS (SELECT user_id, arg_max(CAST(size AS DOUBLE) / k, (p, -k)) AS period, max(p) AS top, sum(p) AS total, any_value(size) AS size FROM p GROUP BY user_id)
+SELECT x.user_id, coalesce(round(period, 6), 0.0) AS fft_period_s, coalesce(round(top / (total + 1e-12), 6), 0.0) AS fft_power_ratio FROM x LEFT JOIN q USING (user_id)""")
 def welch_psd(spark, d):
-    return periodicity.welch_psd(events(spark, d), "user_id", "timestamp", 4.0)
+    return rounded(periodicity.welch_psd(events(spark, d), "user_id", "timestamp", 4.0))
 
 
 _PER = f"""{_ACF}, pe0 AS (SELECT tm.user_id, n AS n_observations, med, sd / (mean + 1e-9) AS iat_cv, coalesce(acf_peak, 0) AS acf_peak, coalesce(acf_peak_lag, 0) AS acf_peak_lag,
@@ -178,12 +186,35 @@ def segment_classify(spark, d):
     return out.select("user_id", "segment", "n", F.round("mean", 3).alias("mean"), "cv", "is_periodic", "is_start", "is_shift")
 
 
-@query()
+# the dynamic program in SQL: a row for each prefix, which carries the costs and starts of all shorter ones
+_PELT, _CV = Settings().pelt, Settings().periodicity.cv_threshold
+_PELT_SQL = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT user_id, list_sort(list(timestamp)) AS t FROM ev GROUP BY user_id),
+x AS (SELECT user_id, t, len(t) - 1 AS n, [t[i + 1] - t[i] FOR i IN range(1, len(t))] AS x FROM o),
+y AS (SELECT user_id, t, n, x, greatest(2 * ln(n) * list_var_pop(x), 1.0) AS pen, list_avg(x) AS mu FROM x WHERE n >= 10 AND len(t) >= {_PELT.min_observations}),
+z AS (SELECT *, [coalesce(list_sum([v - mu FOR v IN x[1:k]]), 0.0) FOR k IN range(0, n + 1)] AS s1, [coalesce(list_sum([(v - mu) * (v - mu) FOR v IN x[1:k]]), 0.0) FOR k IN range(0, n + 1)] AS s2 FROM y),
+r AS (
+  SELECT user_id, 0 AS k, [-pen] AS best, [0] AS back FROM z
+  UNION ALL
+  SELECT user_id, k + 1, list_append(best, CASE WHEN k + 1 < {_PELT.min_segment_length} THEN 1e300 ELSE c.v END), list_append(back, CASE WHEN k + 1 < {_PELT.min_segment_length} THEN 0 ELSE c.s END)
+  FROM (SELECT r.user_id, k, best, back, n, list_min([{{'v': best[s + 1] + pen + s2[k + 2] - s2[s + 1] - (s1[k + 2] - s1[s + 1]) * (s1[k + 2] - s1[s + 1]) / (k + 1 - s), 's': CAST(s AS INTEGER)}} FOR s IN range(0, greatest(k + 2 - {_PELT.min_segment_length}, 1))]) AS c FROM r JOIN z USING (user_id)) WHERE k < n),
+b AS (
+  SELECT r.user_id, back, back[n + 1] AS pos, n AS until FROM r JOIN z ON z.user_id = r.user_id AND r.k = z.n
+  UNION ALL
+  SELECT user_id, back, back[pos + 1], pos FROM b WHERE pos > 0)"""
+
+
+@query(f"""{_PELT_SQL}, g AS (SELECT b.user_id, pos, s2[until + 1] - s2[pos + 1] - (s1[until + 1] - s1[pos + 1]) * (s1[until + 1] - s1[pos + 1]) / (until - pos) AS c, t FROM b JOIN z USING (user_id)),
+f AS (SELECT user_id, round(sum(c), 1) AS pelt_cost, list(t[pos + 1]) FILTER (pos > 0) AS cuts FROM g GROUP BY user_id)
+SELECT o.user_id, unnest(coalesce(cuts, [NULL])) AS "at", pelt_cost FROM o LEFT JOIN f USING (user_id)""")
 def pelt_changepoints(spark, d):
     return changepoint.changepoints(events(spark, d), "user_id", "timestamp").select("user_id", F.explode_outer("changepoint_times").alias("at"), "pelt_cost")
 
 
-@query()
+@query(f"""{_PELT_SQL}, sg AS (SELECT b.user_id, pos, list_avg(x[pos + 1:until]) AS m, list_stddev_pop(x[pos + 1:until]) AS sd, t[pos + 1] AS began FROM b JOIN z USING (user_id)),
+sp AS (SELECT *, m > 0 AND sd / (m + 1e-9) < {_CV} AS p FROM sg), sl AS (SELECT *, lag(p) OVER w AS pp, lag(m) OVER w AS pm FROM sp WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+f AS (SELECT user_id, count(*) - 1 AS n, min(began) FILTER (p AND NOT pp) AS start, bool_or(coalesce(p AND pp AND pm > 0 AND abs(m - pm) / pm > 0.10, false)) AS shift FROM sl GROUP BY user_id)
+SELECT o.user_id, CAST(coalesce(f.n, 0) AS INTEGER) AS n_changepoints, start AS beacon_start_ts, strftime(make_timestamp(CAST(floor(start) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S UTC') AS beacon_start_dt, coalesce(shift, false) AS has_interval_shift
+FROM o LEFT JOIN f USING (user_id)""")
 def changepoints(spark, d):
     return changepoint.changepoints(events(spark, d), "user_id", "timestamp").select("user_id", "n_changepoints", "beacon_start_ts", "beacon_start_dt", "has_interval_shift")
 
@@ -240,3 +271,50 @@ def flagship(spark, d):
     times = periodicity.timing(e, "user_id", "timestamp")
     peak = periodicity.acf_peak(periodicity.binned_acf(e, "user_id", "timestamp", times=times), "user_id")
     return times.select("user_id").join(peak, "user_id", "left").select("user_id", F.coalesce("acf_peak", F.lit(0.0)).alias("acf_peak"), F.coalesce("acf_peak_lag", F.lit(0)).cast("bigint").alias("acf_peak_lag"))
+
+
+# plot data
+
+
+@query(f"""WITH {EVENTS}, m AS (SELECT min(value) AS a, (max(value) - min(value)) / 60 AS w, quantile_cont(value, 0.05) AS c FROM ev)
+SELECT CAST(least(59, floor((value - a) / w)) AS INTEGER) AS bin, round(a + least(59, floor((value - a) / w)) * w, 6) AS lo, round(a + (least(59, floor((value - a) / w)) + 1) * w, 6) AS hi, count(*) AS n, round(any_value(c), 6) AS cutoff
+FROM ev, m WHERE value IS NOT NULL GROUP BY ALL""")
+def score_histogram(spark, d):
+    from tidewatch.report import score_histogram as plot
+
+    return rounded(plot(events(spark, d), "value"))
+
+
+def _timed(spark, d):
+    n = F.count("*")
+    return events(spark, d).groupBy("user_id").agg((n % 11 / 10).alias("beacon_confidence"), (n * 7.5).alias("dominant_period_s")).withColumn("is_beacon_pair", F.col("beacon_confidence") > 0.5)
+
+
+_TIMED = f"{EVENTS}, td AS (SELECT user_id, (count(*) % 11) / 10.0::DOUBLE AS beacon_confidence, count(*) * 7.5::DOUBLE AS period, (count(*) % 11) / 10.0::DOUBLE > 0.5 AS is_beacon_pair FROM ev GROUP BY user_id)"
+
+
+@query(f"""WITH {_TIMED}, b AS (SELECT period / 60 AS v FROM td WHERE is_beacon_pair AND period > 0), m AS (SELECT min(v) AS a, (max(v) - min(v)) / 20 AS w FROM b),
+h AS (SELECT CASE WHEN w > 0 THEN CAST(least(19, floor((v - a) / w)) AS INTEGER) ELSE 0 END AS bin, a, w FROM b, m)
+SELECT bin, round(a + bin * w, 6) AS lo, round(a + (bin + 1) * w, 6) AS hi, count(*) AS n FROM h GROUP BY bin, a, w""")
+def period_histogram(spark, d):
+    from tidewatch.report import period_histogram as plot
+
+    return rounded(plot(_timed(spark, d)))
+
+
+@query(f"""WITH {_TIMED} SELECT CAST(row_number() OVER (ORDER BY beacon_confidence DESC, user_id) AS INTEGER) AS rank, user_id, beacon_confidence, is_beacon_pair FROM td ORDER BY rank LIMIT 50""")
+def confidence_bars(spark, d):
+    """A top-k report: 50 bars are the feature."""
+    from tidewatch.report import confidence_bars as plot
+
+    return plot(_timed(spark, d), "user_id")
+
+
+@query(f"""{_PELT_SQL}, sg AS (SELECT b.user_id, pos, list_avg(x[pos + 1:until]) AS m, list_stddev_pop(x[pos + 1:until]) AS sd, t[pos + 1] AS began FROM b JOIN z USING (user_id)),
+sp AS (SELECT *, m > 0 AND sd / (m + 1e-9) < {_CV} AS p FROM sg), sl AS (SELECT *, lag(p) OVER w AS pp, lag(m) OVER w AS pm FROM sp WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+f AS (SELECT user_id, min(began) FILTER (p AND NOT pp) AS start, bool_or(coalesce(p AND pp AND pm > 0 AND abs(m - pm) / pm > 0.10, false)) AS shifted FROM sl GROUP BY user_id)
+SELECT user_id, start AS began, strftime(make_timestamp(CAST(floor(start) AS BIGINT) * 1000000), '%Y-%m-%d') AS day, shifted FROM f WHERE start IS NOT NULL""")
+def campaign_timeline(spark, d):
+    from tidewatch.report import campaign_timeline as plot
+
+    return plot(changepoint.changepoints(events(spark, d), "user_id", "timestamp"), "user_id")
