@@ -53,6 +53,22 @@ def test_report(run, tmp_path):
     assert counts.flows > counts.channels >= counts.kept + counts.removed - 1 and counts.sax_passed <= counts.sax_evaluated
 
 
+def test_briefs_and_charts(run, tmp_path):
+    from tidewatch import report
+    from tidewatch.evaluate import briefs
+
+    data, art = run
+    text = briefs(art, data["labels"])
+    assert "10.0.1.75" in text and "recall" in text and "techniques" in text and "taken out" in text
+    assert report.score_histogram(art.scored).agg(F.sum("n")).first()[0] == art.scored.count()
+    assert report.confidence_bars(art.periodicity, top=3).count() <= 3
+    assert report.period_histogram(art.periodicity).agg(F.sum("n")).first()[0] == art.periodicity.where("is_beacon_pair AND dominant_period_s > 0").count()
+    assert report.campaign_timeline(art.changepoints, "src_ip").count() == art.changepoints.where("beacon_start_ts IS NOT NULL").count()
+    assert report.sax_points(art.sax).count() == art.sax.count() and report.evidence_points(art.corroboration).count() == art.corroboration.count()
+    page = open(report.write_report(art, str(tmp_path), most_leads=1)).read()
+    assert page.count("<svg") == 5 and (art.leads.count() <= 1 or "The first 1 of" in page)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"e{i % 3}", 1.7e9 + i * 7.0 + (i % 5)) for i in range(120)]
     schema = "id string, t double"

@@ -19,6 +19,7 @@ class Artifacts:
     channels: DataFrame
     kept: DataFrame
     removed: DataFrame
+    scored: DataFrame
     anomalies: DataFrame
     sax: DataFrame
     periodicity: DataFrame
@@ -50,7 +51,7 @@ class Engine:
         """(all with score and label, those labelled -1)."""
         i = self.cfg.isolation
         scaled = [c for c in channels.columns if c.endswith("_stdz")]
-        scored = anomaly.isolation_scores(channels, scaled, "channel_id", i.n_estimators, i.max_samples, i.random_state)
+        scored = anomaly.isolation_scores(channels, scaled, "channel_id", i.n_estimators, i.max_samples, i.random_state, i.contamination)
         scored = cut(anomaly.percentile_label(anomaly.small_pool_bypass(scored, small_pool=i.small_pool), contamination=i.contamination, small_pool=i.small_pool), "scored")
         return scored, scored.where("iforest_label = -1")
 
@@ -97,7 +98,7 @@ class Engine:
         changes = cut(self.detect_changepoints(timed, narrow), "changes")
         found = cut(self.annotate(self.corroborate(timed, narrow, dns, http, ssl), changes), "corroboration")
         leads = triage.next_steps(triage.triage_leads(found, changes))
-        return Artifacts(flows, channels, kept, removed, anomalies, screened, timed, priority, changes, found, leads, stability)
+        return Artifacts(flows, channels, kept, removed, scored, anomalies, screened, timed, priority, changes, found, leads, stability)
 
 
 def funnel_counts(art: Artifacts) -> DataFrame:
