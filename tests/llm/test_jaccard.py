@@ -69,6 +69,24 @@ def test_without_the_first_round(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_duplicates(docs(spark, texts)).collect()), key=str) == plain(texts, list(range(len(texts))))
 
 
+def test_a_crowd_and_those_near_it(spark):
+    """Classes at the border of a large group, some linked with a few of its members only."""
+    for seed in (4, 5):
+        r = random.Random(seed)
+        base = [f"w{i}" for i in range(r.choice([60, 150]))]
+        spare = [[f"s{k}" for k in range(30)] for _ in range(2)]
+        texts = [" ".join(base)]
+        for _ in range(160):
+            copy = list(base)
+            for _ in range(r.choice([1, 1, 2, 3, 3, 4])):
+                at = r.randrange(len(copy))
+                copy[at] = r.choice([f"x{r.random()}", f"y{at}", f"y{at}"])
+            if r.random() < 0.2:
+                copy = copy[: len(copy) - r.randrange(20)] + r.choice(spare)[: r.randrange(12)]
+            texts.append(" ".join(copy))
+        assert sorted((tuple(r) for r in near_duplicates(docs(spark, texts)).collect()), key=str) == plain(texts, list(range(len(texts))))
+
+
 def test_borders_and_small_cases(spark):
     a = np.arange(1, 91, dtype=np.uint64) << np.uint64(56)
     assert links(a[:80], a[:100][:80]) and links(np.arange(80, dtype=np.uint64), np.arange(100, dtype=np.uint64)) and not links(np.arange(79, dtype=np.uint64), np.arange(100, dtype=np.uint64))

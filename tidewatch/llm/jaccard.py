@@ -4,13 +4,16 @@ Rare-first prefix filtering.  A set's n-grams are ordered by how often their has
 texts (then by hash); two sets that link share one of their first ``n - ceil(t n) + 1``.
 
 1. Equal sets are one class, known by a 64-bit digest.  Only prefix n-grams of two classes or more matter:
-   a partial aggregation finds them, a Bloom filter of fixed size takes them back to the texts.
+   a partial aggregation finds them, a Bloom filter takes them back to the texts.
 2. Copies come in large groups, so most links are found without pairing a group's members: every class
-   meets the least class that shares two of eight min-hashed prefix n-grams; pairs that link give a first
-   labelling by components.  Where a large group still meets other labels, those meet members picked by hash.
+   meets, of those that share two of its eight min-hashed prefix n-grams, the plainest, whose prefix has
+   the least n-grams of its own; pairs that link give a first labelling by components.  Where a large group
+   still meets other labels, those meet its plainest members and some picked by hash.
 3. What remains are pairs whose classes have different labels.  Prefix n-grams are counted by pairs of labels
-   (a group is one row there) against the lengths and the number that a link needs at least; the classes of
-   the pairs left are compared one by one.
+   (a group is one row there) against the lengths and the number that a link needs at least.  Of a large
+   group and another label, each class of the latter is then held against the group as a whole: what its
+   prefix shares with none of the members is lost to all of them.  Only a class that could still reach what
+   a link needs meets the members, and of those only the ones that could reach it, too.
 Every pair, wherever it comes from, first meets the length and the positional filter on the shared prefix
 n-grams, then, with the sets at hand, the suffix filter (counts by hash range), and last the intersection.
 
@@ -32,9 +35,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.llm.components import components
-from tidewatch.llm.sketches import COUNT_BITS, PIECES, bloom, count_pieces, gather, may_hold
+from tidewatch.llm.sketches import MOST_COUNTS, PIECES, bits_for, bloom, count_of, gather, may_hold, pieces, tally
 from tidewatch.llm.texts import map_texts, only, slices
-from tidewatch.runtime import cut, free_shuffles, release, ship
+from tidewatch.runtime import cut, release, ship
 
 N, PERCENT = 5, 80
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -83,7 +86,7 @@ def least_kept(size, percent: int = PERCENT):
 
 def prefix(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The rarest n-grams of a set, in order."""
-    order = np.lexsort((s, counts[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+    order = np.lexsort((s, count_of(counts, s)))
     return s[order[: s.size - least_kept(s.size, percent) + 1]]
 
 
@@ -121,41 +124,47 @@ class JaccardJoin:
         """(id, key, n) of every row, and how many n-grams of all texts each hash bucket has."""
         schema = T.StructType([T.StructField("id", self.id_type), T.StructField("idh", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *PIECES])
         arrow = to_arrow_schema(schema)
-        n = self.n
+        n, (chars,) = self.n, self.docs.agg(F.sum(F.length("text"))).first()
+        size = 1 << bits_for((chars or 0) // 5, MOST_COUNTS)  # about as many as words
 
         def run(batches):
             only(None)
-            shingler, counts = Shingler(n), np.zeros(1 << COUNT_BITS, np.uint32)
+            shingler, counts = Shingler(n), np.zeros(size, np.uint8)
             for batch in batches:
                 for part, texts in slices(batch, 1, 1_500_000):
                     sets = shingler.sets(texts)
-                    every = np.concatenate(sets)
-                    counts += np.bincount((every >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=counts.size).astype(np.uint32)
+                    tally(counts, np.concatenate(sets))
                     nulls = pa.nulls(len(sets))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_key(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], schema=arrow)
-            p = count_pieces(counts)
+            p = pieces(counts)
             nulls = pa.nulls(p.num_rows)
             yield pa.RecordBatch.from_arrays([nulls.cast(arrow.field(0).type), nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.int64()), p.column(0), p.column(1)], schema=arrow)
 
         both = cut(self.docs.mapInArrow(run, schema), "rows")
-        return both.where("n IS NOT NULL").select("id", "idh", "key", "n"), gather(both.where("piece IS NOT NULL").select("piece", "data"), 1 << COUNT_BITS)
+        return both.where("n IS NOT NULL").select("id", "idh", "key", "n"), gather(both.where("piece IS NOT NULL").select("piece", "data"), size)
 
     def keyed(self, rows: DataFrame) -> DataFrame:
-        """(_row, _key, _n) of rows given as (_row, _body): the class digest of each."""
+        """(_row, _body, _key, _n) of rows given as (_row, _body): the class digest of each."""
         n = self.n
 
         def work(texts: list[str]) -> list:
             sets = Shingler(n).sets(texts)
             return [[_key(s) for s in sets], [s.size for s in sets]]
 
-        return map_texts(rows, work, [T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType())], "_row", "_body")
+        return map_texts(rows, work, [T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType())], "_row", "_body", text_as="_body")
 
     def prefixes(self, counts, only=None) -> DataFrame:
-        """(token, key, n, pos) of prefix n-grams; ``only``: a Bloom filter of tokens.  Copies within a slice give one."""
-        percent = self.percent
+        """(token, key) of prefix n-grams; with a Bloom filter ``only`` of those that classes share also n, pos, near and far.
+
+        ``far``: how much of the class a set can hold that shares any of these n-grams, all but what stands before
+        the first.  ``near``: the same for sets whose size differs by a twentieth at most.  They share k or more,
+        since beyond the earlier end of both prefixes there are fewer than t times the larger size; so what
+        stands before the k-th and is not shared is lost.  Copies within a slice give one.
+        """
+        percent, t = self.percent, self.percent / 100
         fields = [T.StructField("token", T.LongType()), T.StructField("key", T.LongType())]
         if only is not None:
-            fields += [T.StructField("n", T.LongType()), T.StructField("pos", T.IntegerType())]
+            fields += [T.StructField("n", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("pos", "near", "far")]]
 
         def make(sets):
             by_key = {_key(s): s for s in sets if s.size}
@@ -167,10 +176,17 @@ class JaccardJoin:
             key = np.repeat(np.array(list(by_key), np.int64), sizes)
             if only is None:
                 return [token, key]
-            n = np.repeat(np.array([s.size for s in by_key.values()], np.int64), sizes)
+            each = np.array([s.size for s in by_key.values()], np.int64)
             pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
             ok = may_hold(only.value, token)
-            return [token[ok], key[ok], n[ok], pos[ok]]
+            which = np.repeat(np.arange(len(sizes)), sizes)[ok]
+            held = np.bincount(which, minlength=len(sizes))
+            first, at = np.concatenate([[0], np.cumsum(held)[:-1]]), pos[ok]
+            k = np.maximum(1, np.ceil(each * (t * 1.95 / (1 + t) - t) - 1e-6).astype(np.int64))
+            pick = lambda i: at[np.minimum(first + i, max(0, at.size - 1))] if at.size else 0
+            far = np.where(held > 0, each - pick(0), 0).astype(np.int32)
+            near = np.where(held >= k, each - pick(k - 1) - 1 + k, 0).astype(np.int32)
+            return [token[ok], key[ok], each[which], at, near[which], far[which]]
 
         return self._scan(make, T.StructType(fields))
 
@@ -188,9 +204,10 @@ class JaccardJoin:
         pairs = cut(met.where((F.size("_both") > 0) & (F.size("_both") + F.least(F.col("na"), F.col("nb")) >= need)).where(F.size("_both") + left >= need).select("a", "b"), "pairs")
         if pairs.isEmpty():
             return pairs
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        share = self.spark.sparkContext.broadcast
-        wanted, rows = share(bloom(keys)), share(bloom(keys.join(self.first_row, "key").select("idh")))
+        keys = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(self.first_row, "key"), "keys")
+        share, n = self.spark.sparkContext.broadcast, keys.count()
+        wanted, rows = share(bloom(keys.select("key"), n)), share(bloom(keys.select("idh"), n))
+        release(keys)
 
         def make(sets):
             by_key = {_key(s): s for s in sets if s.size}
@@ -211,60 +228,82 @@ class JaccardJoin:
         linked = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, pairs.schema), "links")
         release(found)
         release(pairs)
-        free_shuffles(self.spark)
         return linked
 
     def anchors(self, seeds: int = 8) -> DataFrame:
-        """(key, anchor): min-hashed shared prefix n-grams of each class."""
-        hashes = self.shared.groupBy("key").agg(*[F.min(F.xxhash64("token", F.lit(i))).alias(f"h{i}") for i in range(seeds)])
-        return hashes.select("key", F.explode(F.array(*[F.xxhash64(f"h{i}", F.lit(i)) for i in range(seeds)])).alias("anchor"))
+        """(key, own, anchor): min-hashed shared prefix n-grams of each class; ``own``: what share of it stands before them, in thousandths."""
+        hashes = self.shared.groupBy("key").agg(F.floor(F.min("pos") * 1000 / F.first("n")).alias("own"), *[F.min(F.xxhash64("token", F.lit(i))).alias(f"h{i}") for i in range(seeds)])
+        return hashes.select("key", "own", F.explode(F.array(*[F.xxhash64(f"h{i}", F.lit(i)) for i in range(seeds)])).alias("anchor"))
 
     def first_pairs(self, anchors: DataFrame, agree: int = 2) -> DataFrame:
-        """Each class with the least class of its anchors that shares ``agree`` of them."""
-        leaders = anchors.groupBy("anchor").agg(F.min("key").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
+        """Each class with the plainest class of its anchors that shares ``agree`` of them."""
+        leaders = anchors.groupBy("anchor").agg(F.min(F.struct("own", "key")).alias("top"), F.count("*").alias("c")).where("c > 1").select("anchor", F.col("top.key").alias("a"))
         met = anchors.join(leaders, "anchor").where("key <> a").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("c"))
-        return met.where(F.col("c") >= agree).select("a", "b")
+        return met.where(F.col("c") >= agree).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def group_pairs(self, anchors: DataFrame, labels: DataFrame, crowd: int = 16, heads: int = 16) -> DataFrame:
-        """Where a large group meets other labels at an anchor: the others with some of its members there, picked by hashes."""
+    def group_pairs(self, anchors: DataFrame, labels: DataFrame, crowd: int = 16, heads: int = 4) -> DataFrame:
+        """Where a large group meets other labels at an anchor: the others with its plainest members there and some picked by hashes."""
         tagged = anchors.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        picks = F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key")) for i in range(heads)])
-        per = tagged.groupBy("anchor", "label").agg(F.count("*").alias("m"), picks.alias("picks"))
-        large = per.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.struct("m", "label", "picks")).alias("top")).where((F.col("c") > 1) & (F.col("top.m") >= crowd))
-        large = large.select("anchor", F.col("top.label").alias("to"), F.array_distinct(F.transform("top.picks", lambda x: x["key"])).alias("heads"))
+        plain = [F.min(F.struct("own", F.xxhash64("key", F.lit(i)).alias("h"), "key"))["key"] for i in range(heads)]
+        some = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key"))["key"] for i in range(heads)]
+        per = tagged.groupBy("anchor", "label").agg(F.count("*").alias("m"), F.array_distinct(F.array(*plain, *some)).alias("heads"))
+        large = per.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.struct("m", "label", "heads")).alias("top")).where((F.col("c") > 1) & (F.col("top.m") >= crowd))
+        large = large.select("anchor", F.col("top.label").alias("to"), F.col("top.heads").alias("heads"))
         met = tagged.join(large, "anchor").where("label <> to").select("key", F.explode("heads").alias("head"))
         return met.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
 
-    def rest_pairs(self, labels: DataFrame) -> DataFrame:
+    def rest_pairs(self, labels: DataFrame, crowd: int = 4) -> DataFrame:
         """All pairs of classes with different labels that could link."""
         t, p = self.percent / 100, self.percent
         tagged = cut(self.shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "tagged")
         mixed = tagged.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         mixed = cut(tagged.join(mixed, "token"), "mixed")
         release(tagged)
-        groups = mixed.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * (t / (1 + t)) - 1e-6)
+        groups = mixed.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("near").alias("near"), F.max("far").alias("far"))
         x, y = groups.alias("x"), groups.alias("y")
         fits = (F.col("x.label") < F.col("y.label")) & (F.col("x.hi") * 100 >= F.col("y.lo") * p) & (F.col("y.hi") * 100 >= F.col("x.lo") * p)
+        alike = F.greatest("x.hi", "y.hi") * 0.95 <= F.least("x.lo", "y.lo")
+        fits = fits & (F.when(alike, F.least("x.near", "y.near")).otherwise(F.least("x.far", "y.far")) >= need("x.lo", "y.lo"))
         met = x.join(y, F.col("x.token") == F.col("y.token")).where(fits).groupBy(F.col("x.label").alias("la"), F.col("y.label").alias("lb")).agg(F.count("*").alias("c"))
-        sizes = mixed.groupBy("label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        met = met.join(sizes.select(F.col("label").alias("la"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a")), "la").join(sizes.select(F.col("label").alias("lb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b")), "lb")
+        sizes = mixed.groupBy("label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count_distinct("key").alias("m"))
+        for x in "ab":
+            met = met.join(sizes.select(F.col("label").alias("l" + x), *[F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "m")]), "l" + x)
         # sizes l <= m, l >= t m: overlap >= t (l + m) / (1 + t), of which at most t m lie behind the shorter prefix
         small = F.greatest(F.least("lo_a", "lo_b"), F.ceil(F.greatest("lo_a", "lo_b") * t - 1e-6))
         large = F.least(F.greatest("hi_a", "hi_b"), F.floor(small / t + 1e-6))
-        need = F.floor(small * (t / (1 + t)) - large * (t * t / (1 + t)) - 1e-6)
-        members = mixed.select("label", "key", "n").distinct()
-        x, y = members.select(F.col("label").alias("la"), F.col("key").alias("a"), F.col("n").alias("na")), members.select(F.col("label").alias("lb"), F.col("key").alias("b"), F.col("n").alias("nb"))
-        every = met.where(F.col("c") >= need).select("la", "lb").join(x, "la").join(y, "lb")
-        return every.where((F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
+        common = F.floor(small * (t / (1 + t)) - large * (t * t / (1 + t)) - 1e-6)
+        few = F.struct("m_b", "lb") < F.struct("m_a", "la")  # the label with fewer classes comes first
+        side = lambda one, other: F.when(few, F.col(one)).otherwise(F.col(other))
+        met = met.where(F.col("c") >= common).select(side("lb", "la").alias("small"), side("la", "lb").alias("large"), side("m_a", "m_b").alias("m"), side("lo_a", "lo_b").alias("lo"), side("hi_a", "hi_b").alias("hi"))
+        met = cut(met, "met")
+        members = cut(mixed.groupBy("label", "key").agg(F.first("n").alias("n"), F.first("near").alias("near"), F.first("far").alias("far")), "members")
+        one = met.join(members.select(F.col("label").alias("small"), F.col("key").alias("a"), *[F.col(c).alias(c + "_a") for c in ("n", "near", "far")]).withColumnRenamed("n_a", "na"), "small")
+        alone = one.where(F.col("m") < crowd).select("a", "na", "near_a", "far_a", "large")
+        # a class shares k prefix n-grams or more with a set that links: beyond the earlier end of both prefixes there are fewer than t n
+        crowded = one.where(F.col("m") >= crowd).withColumn("lo", F.greatest("lo", F.ceil(F.col("na") * t - 1e-6))).withColumn("hi", F.least("hi", F.floor(F.col("na") / t + 1e-6)))
+        bound = lambda n: need("na", n) - F.ceil(F.greatest("na", n) * t - 1e-6) + 1
+        crowded = crowded.select("a", "na", "large", "lo", F.greatest(F.lit(1), bound("lo")).alias("k_lo"), F.greatest(F.lit(1), bound("hi")).alias("k_hi"))
+        shared = groups.select("token", F.col("label").alias("large"))
+        against = crowded.join(mixed.select(F.col("key").alias("a"), "token", "pos"), "a").join(shared, ["token", "large"])
+        against = against.groupBy("a", "large").agg(F.first("na").alias("na"), F.first("lo").alias("lo"), F.least(F.first("k_lo"), F.first("k_hi")).cast("int").alias("k"), F.sort_array(F.collect_list("pos")).alias("at"))
+        # so it loses what stands before its k-th shared one and is shared with no member
+        against = against.where(F.size("at") >= F.col("k")).withColumn("far_a", F.col("na") - F.element_at("at", F.col("k")) - 1 + F.col("k")).where(F.col("far_a") >= need("na", "lo"))
+        every = alone.unionByName(against.select("a", "na", F.col("far_a").alias("near_a"), "far_a", "large"))
+        every = every.join(members.select(F.col("label").alias("large"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("near").alias("near_b"), F.col("far").alias("far_b")), "large")
+        alike = F.greatest("na", "nb") * 0.95 <= F.least("na", "nb")
+        most = F.when(alike, F.least("near_a", "near_b", "far_a")).otherwise(F.least("far_a", "far_b"))
+        every = every.where((F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p) & (most >= need("na", "nb")))
+        return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def run(self) -> DataFrame:
         """(id, key, n, label, component) of every row; rows with words link, also by way of others, where their labels are equal."""
         rows, counts = self.rows_and_counts()
         share = self.spark.sparkContext.broadcast
         counts = share(counts)
-        tokens = self.prefixes(counts).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-        only = share(bloom(tokens))
-        free_shuffles(self.spark)
+        tokens = cut(self.prefixes(counts).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token"), "tokens")
+        only = share(bloom(tokens, tokens.count()))
+        release(tokens)
         self.shared = cut(self.prefixes(counts, only).distinct(), "shared")
         self.heads = cut(self.shared.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "pos")).alias("l")).select("key", "n", F.col("l.token").alias("tokens"), F.col("l.pos").alias("pos")), "heads")
         self.first_row = rows.groupBy("key").agg(F.min("idh").alias("idh"))
@@ -277,7 +316,6 @@ class JaccardJoin:
             edges = edges.unionByName(more)
             release(labels)
             labels = cut(components(edges), "labels")
-        free_shuffles(self.spark)
         more = self.verify(self.rest_pairs(labels))
         if not more.isEmpty():
             release(labels)
