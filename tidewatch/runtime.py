@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, below ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests, a laptop) a local folder is used instead.
+    Only where that setting is unset and all runs on one machine (tests, a laptop) a local folder is used instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-shared")
     path = f"{base.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -64,12 +66,6 @@ def release(df: DataFrame) -> None:
         drop(df.sparkSession, path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner find shuffle files of finished jobs now rather than at the next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder made with :func:`shared_dir`."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
