@@ -46,7 +46,8 @@ def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def frequency_encode(df: DataFrame, columns: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
-    """How often each row's value occurs; counted first and joined back, so a hot value is never in one task."""
+    """How often each row's value occurs: counted with partial sums and joined back.  Where the counts are too many to
+    broadcast, rows are dealt by value, so a value that very many rows share makes a large task."""
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"{c}_freq"))
         df = df.join(counts, c, "left")
