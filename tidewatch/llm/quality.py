@@ -7,7 +7,8 @@ the largest remaining gain are boosted the same way.  A score is an intercept pl
 The model is fitted on the driver on at most ``MOST_ROWS`` labelled rows of each class, of which only the
 numbers are collected; the intercept is then moved to the odds of all learnable labels, so that a score means
 the same whatever was left out.  Null and empty texts have all numbers 0 and get a score like any other.  Without
-labels every score is 0.5; with one class alone, that class's share.  Repeated rows get a row each.
+labels every score is 0.5; with one class alone, that class's share.  Repeated rows get a row each; an empty table
+gives none.  Other columns are not read.
 """
 
 from __future__ import annotations

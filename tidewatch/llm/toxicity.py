@@ -9,8 +9,14 @@ and sums of the savings over all windows of a text give its score by a logistic
 on training rows kept out of the dictionaries.
 
 All are fitted on the driver on at most ``MOST_TOXIC`` and ``MOST_ORDINARY`` labelled rows.  Near copies
-count once there.  The intercept is then moved to the odds of all learnable labels.  Null and empty texts have no window and score like a text that saves nothing.
-Without toxic or ordinary training rows every score is the toxic share (0.5 without any rows).
+count once there.  The intercept is then moved to the odds of all learnable labels.
+
+The dictionaries are not filled by the library's trainer: trained so on either side, they told nothing of rows held out
+(figures in the README), since toxic texts are ordinary but for a few words.
+
+Null and empty texts have no window and score like a text that saves nothing.  Without toxic or ordinary training rows
+every score is the toxic share (0.5 without any rows).  Repeated rows give a row each and equal texts equal scores; an
+empty table gives none.  Other columns are not read.  A text is held whole.
 """
 
 from __future__ import annotations
