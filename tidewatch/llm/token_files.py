@@ -135,7 +135,7 @@ class WordEncoder:
 
     MARKS = frozenset(",.!?;:")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
