@@ -96,6 +96,16 @@ def test_borders_and_small_cases(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in same), key=str) == sorted([(5, 1, 5), (5, 1, 5), (None, 1, 5), (7, 0, 7), (7, 0, 7), (1, 1, 1)], key=str)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    from tidewatch.llm import jaccard
+
+    texts = [t or "" for t in corpus(6)]
+    whole = Shingler().sets(texts)
+    for part in (1, 9, 200):
+        monkeypatch.setattr(jaccard, "PART", part)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, Shingler().sets(texts), strict=True))
+
+
 def test_components(spark):
     r = random.Random(0)
     path = [(i, i + 1) for i in range(300)]

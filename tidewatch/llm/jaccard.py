@@ -20,10 +20,14 @@ n-grams, then, with the sets at hand, the suffix filter (counts by hash range),
 No pair is dropped but by a bound that no link can break.  Texts without words have the empty set and
 link with nothing; fewer words than n are one n-gram.  Rows of one id count as one document that has
 several texts: each row is listed, with the least id its own text reaches.  Null ids are never the least.
+An empty table gives an empty table; other columns, whatever their names, are not read.  A long text's words
+are hashed a part at a time; of it, eight bytes for each n-gram are held.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,19 +44,37 @@ from tidewatch.llm.texts import map_texts, only, slices
 from tidewatch.runtime import cut, release, ship
 
 N, PERCENT = 5, 80
+PART = 1_000_000  # characters of a text whose words are held at a time
+_BLANK = re.compile(r"[ \n\t]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts that end at blanks."""
+    at = 0
+    while len(text) - at > PART:
+        border = _BLANK.search(text, at + PART)
+        if border is None:
+            break
+        yield text[at : border.start()]
+        at = border.start()
+    yield text[at:]
+
+
 class Shingler:
     def __init__(self, n: int = N):
         self.n = n
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct 64-bit n-gram hashes of each text."""
-        split = [t.encode().translate(_LOWER).split() for t in texts]
-        sizes = [len(ws) for ws in split]
-        word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, sum(sizes))
+        if any(len(t) > PART for t in texts):
+            hashed = [np.concatenate([self._words(p) for p in _parts(t)]) for t in texts]
+            sizes, word = [len(h) for h in hashed], np.concatenate(hashed)
+        else:
+            split = [t.encode().translate(_LOWER).split() for t in texts]
+            sizes = [len(ws) for ws in split]
+            word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, sum(sizes))
         gram = word.copy()
         for k in range(1, self.n):
             gram[: max(0, word.size - k)] = gram[: max(0, word.size - k)] * _A + word[k:]
@@ -72,6 +94,11 @@ class Shingler:
             at += size
         return out
 
+    @staticmethod
+    def _words(text: str) -> np.ndarray:
+        ws = text.encode().translate(_LOWER).split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+
     @staticmethod
     def _mix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(32))) * _B
@@ -320,8 +347,9 @@ class JaccardJoin:
         if not more.isEmpty():
             release(labels)
             labels = cut(components(edges.unionByName(more)), "labels")
-        named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        least = named.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
+        named = cut(rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "named")
+        # a written table, not an aggregate, on this side: so Spark can split the rows of a label that has very many
+        least = cut(named.where("n > 0").groupBy("label").agg(F.min("id").alias("component")), "least")
         joined = named.join(least, "label", "left")
         return joined.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
