@@ -56,6 +56,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = cut(join.run(), "found")
     # of each group the least id stays (null is the greatest), of rows with that id the one with the least digest
     least = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k"))
+    least = cut(least, "least")  # a written table, not an aggregate: so Spark can split the rows of a very large group
     lost = found.where("n > 0").join(least, "label").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("key") == F.col("k.key"))))
     lost = lost.select(F.col("id").alias("_id"), F.col("key").alias("_lost")).distinct()
     keyed = join.keyed(_tagged(docs))
