@@ -39,3 +39,9 @@ def test_periodicity_scores(spark, beats):
     assert sorted(got, key=lambda r: r["user_id"]) == sorted(want, key=lambda r: r["user_id"])
     found = {r["user_id"]: r for r in got}
     assert set(found) == {0, 1, 3} and found[0]["is_periodic"] and found[0]["dominant_period_s"] == 300.0 and not found[1]["is_periodic"]
+
+
+def test_beacon_confidence(spark, beats):
+    got, want = both(spark, beats, "beacon_confidence")
+    assert sorted(got, key=lambda r: r["user_id"]) == sorted(want, key=lambda r: r["user_id"])
+    assert {r["user_id"]: r["beacon_confidence"] for r in got}[0] == 0.8  # 0.4 for the peak, 0.3 for even gaps, 0.1 for both; no spectrum in gaps all alike
