@@ -45,9 +45,11 @@ def normalize_schema(df: DataFrame, keep: tuple[str, ...] | None = None) -> Data
     return out.select(*[c for c in keep if c in out.columns]) if keep else out
 
 
-def scan_window(table: DataFrame, start, end, limit: int, time: str = "_timestamp", columns: tuple[str, ...] = REMOTE_COLUMNS) -> DataFrame:
-    """Rows of [start, end) of a remote table, the projected columns it has, at most ``limit``."""
+def scan_window(table: DataFrame, start, end, limit: int, time: str = "_timestamp", columns: tuple[str, ...] = REMOTE_COLUMNS, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of [start, end) of a remote table, the projected columns it has, at most ``limit``: the first by ``order``, nulls last, or any."""
     rows = table.where((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
+    if order:
+        rows = rows.orderBy(*[F.asc_nulls_last(F.col(f"`{c}`")) for c in order])
     return rows.select(*[F.col(f"`{c}`") for c in columns if c in table.columns]).limit(limit)
 
 
