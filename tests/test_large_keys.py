@@ -1,10 +1,12 @@
 """Queries on tables made here with rows out of order or keys beyond those of the test tables, against their SQL."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows
 from tidewatch.plans import catalog
+from tidewatch.plans.standins import addressed
 from tidewatch.sources import logs
 
 
@@ -31,3 +33,24 @@ def test_scan_window_orders_by_what_it_does_not_return(spark):
     t = spark.createDataFrame([(5, 1.0, "a"), (None, 1.0, "b"), (2, 1.0, "c"), (1, 9.0, "d")], "k int, _timestamp double, v string")
     assert [r.v for r in logs.scan_window(t, 0.0, 2.0, 2, columns=("v",), order=("k",)).collect()] == ["c", "a"]
     assert logs.scan_window(t, 0.0, 2.0, 2, columns=("v",)).count() == 2
+
+
+@pytest.fixture
+def many_users(spark, tmp_path):
+    """Users round 64,000, from where on the names of sources are no addresses; a hundred events each, of four types."""
+    made = spark.range(0, 2400, 1, 2).select("id", (63_990 + 9 * (F.col("id") % 24) + 20_000 * (F.col("id") % 2)).alias("user_id"), F.floor(F.col("id") / 24).alias("i"))
+    kind = F.when(F.col("i") % 3 == 0, "signup").when(F.col("i") % 5 == 0, "purchase").when(F.col("i") % 2 == 0, "error").otherwise("click")
+    at = F.expr("CAST(timestampadd(SECOND, CAST(i * 613 AS INT), TIMESTAMP_NTZ'2024-01-02 00:00:00') AS TIMESTAMP_NTZ)")
+    made.select(F.col("id").alias("event_id"), at.alias("ts"), "user_id", kind.alias("event_type"), (F.col("i") + 1.0).alias("value"), F.lit('{"k": 5}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    return tmp_path
+
+
+def test_prefilter_classify_many_users(spark, many_users):
+    got = same(spark, many_users, "prefilter_classify")
+    assert {r[1] for r in got if "→10.9.9." in r[0] and r[0] > "10.0.256"} == {"both_internal"} == {r[1] for r in got if "→10.9.9." in r[0]}
+
+
+def test_addresses_stay_apart(spark):
+    names = [("10.0.5.9",), ("10.0.255.249",), ("10.0.256.9",), ("10.0.361.9",), ("10.0.511.0",), ("10.0.512.0",), ("nothing",), (None,)]
+    got = [r.src_ip for r in addressed(spark.createDataFrame(names, "src_ip string")).collect()]
+    assert got == ["10.0.5.9", "10.0.255.249", "10.1.0.9", "10.1.105.9", "10.1.255.0", "10.2.0.0", "nothing", None]
