@@ -54,3 +54,8 @@ def test_addresses_stay_apart(spark):
     names = [("10.0.5.9",), ("10.0.255.249",), ("10.0.256.9",), ("10.0.361.9",), ("10.0.511.0",), ("10.0.512.0",), ("nothing",), (None,)]
     got = [r.src_ip for r in addressed(spark.createDataFrame(names, "src_ip string")).collect()]
     assert got == ["10.0.5.9", "10.0.255.249", "10.1.0.9", "10.1.105.9", "10.1.255.0", "10.2.0.0", "nothing", None]
+
+
+def test_prefilter_apply_many_users(spark, many_users):
+    got = same(spark, many_users, "prefilter_apply")
+    assert all(r[0].split("→")[0] == r[2] for r in got)
