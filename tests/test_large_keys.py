@@ -59,3 +59,7 @@ def test_addresses_stay_apart(spark):
 def test_prefilter_apply_many_users(spark, many_users):
     got = same(spark, many_users, "prefilter_apply")
     assert all(r[0].split("→")[0] == r[2] for r in got)
+
+
+def test_prefilter_breakdown_many_users(spark, many_users):
+    assert dict((r[1], r[0]) for r in same(spark, many_users, "prefilter_breakdown"))["both_internal"] > 0
