@@ -63,3 +63,8 @@ def test_prefilter_apply_many_users(spark, many_users):
 
 def test_prefilter_breakdown_many_users(spark, many_users):
     assert dict((r[1], r[0]) for r in same(spark, many_users, "prefilter_breakdown"))["both_internal"] > 0
+
+
+def test_funnel_counts_many_users(spark, many_users):
+    (got,) = same(spark, many_users, "funnel_counts")
+    assert got[0] == got[2] + got[3]
