@@ -45,3 +45,9 @@ def test_beacon_confidence(spark, beats):
     got, want = both(spark, beats, "beacon_confidence")
     assert sorted(got, key=lambda r: r["user_id"]) == sorted(want, key=lambda r: r["user_id"])
     assert {r["user_id"]: r["beacon_confidence"] for r in got}[0] == 0.8  # 0.4 for the peak, 0.3 for even gaps, 0.1 for both; no spectrum in gaps all alike
+
+
+def test_score_all_channels(spark, beats):
+    got, want = both(spark, beats, "score_all_channels")
+    assert got == want
+    assert (got[0]["user_id"], got[0]["is_beacon_pair"], got[-1]["is_beacon_pair"]) == (0, True, False)  # 0.8 and less than 0.45
