@@ -51,3 +51,19 @@ def test_score_all_channels(spark, beats):
     got, want = both(spark, beats, "score_all_channels")
     assert got == want
     assert (got[0]["user_id"], got[0]["is_beacon_pair"], got[-1]["is_beacon_pair"]) == (0, True, False)  # 0.8 and less than 0.45
+
+
+@pytest.fixture
+def untimed(spark, tmp_path):
+    """The folder of a table with events that have no time: user 0 beats 80 times, user 1 nine times and has five such events, user 2 has only such, user 3 beats unevenly and has three."""
+    times = {0: [300 * i for i in range(80)], 1: [None] * 5 + [300 * i for i in range(9)], 2: [None] * 12, 3: [97 * i + 61 * (i * i % 7) for i in range(200)] + [None] * 3}
+    at = "CAST(timestampadd(SECOND, s, TIMESTAMP_NTZ'2024-01-02 00:00:00') AS TIMESTAMP_NTZ)"
+    made = spark.createDataFrame([(u, s) for u, all_ in times.items() for s in all_], "user_id bigint, s int")
+    made.selectExpr("CAST(monotonically_increasing_id() AS BIGINT) AS event_id", f"{at} AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_beacon_confidence_counts_events_without_a_time(spark, untimed):
+    got, want = both(spark, untimed, "beacon_confidence")
+    assert sorted(got, key=lambda r: r["user_id"]) == sorted(want, key=lambda r: r["user_id"])
+    assert {r["user_id"]: r["beacon_confidence"] for r in got}.items() >= {0: 0.8, 1: 0.8, 2: 0.0}.items()
