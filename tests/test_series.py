@@ -67,3 +67,9 @@ def test_beacon_confidence_counts_events_without_a_time(spark, untimed):
     got, want = both(spark, untimed, "beacon_confidence")
     assert sorted(got, key=lambda r: r["user_id"]) == sorted(want, key=lambda r: r["user_id"])
     assert {r["user_id"]: r["beacon_confidence"] for r in got}.items() >= {0: 0.8, 1: 0.8, 2: 0.0}.items()
+
+
+def test_score_all_channels_counts_events_without_a_time(spark, untimed):
+    got, want = both(spark, untimed, "score_all_channels")
+    assert got == want
+    assert [(r["user_id"], r["is_beacon_pair"]) for r in got][:2] == [(0, True), (1, True)] and got[-1] == {"user_id": 2, "beacon_confidence": 0.0, "is_beacon_pair": False}
