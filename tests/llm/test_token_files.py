@@ -26,6 +26,17 @@ def test_stretches_encode_as_whole_texts(library):
         assert own.encode(some) == want
 
 
+def test_words_with_marks_and_long_texts(library):
+    own = F.WordEncoder(P.path("word_bpe_49k.json"), most=1000)
+    marks = [w + m for w in ("Word", "naïve", "İx", "ﬁn", "ж", "x1", "'s", "a'", "startoftext", "<|endoftext", "e\u0301") for m in (",", ".***", "!!", "'", "''", "|>", "'s", ".'t", "=\u0338", "-" * 70)]
+    stretch = "no" * 300_000 + "\n"
+    odd = [" ".join(marks), *marks, "one, Two  three.\n" * 40_000, stretch + "b c", stretch.strip(), " " * 600_000, "\n" * 3]
+    for some in (odd, *([x] for x in odd)):
+        want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+        assert own.encode(some) == want
+    assert max(map(len, own.known)) <= 64
+
+
 def test_file_format(monkeypatch):
     monkeypatch.setattr(F, "FRAME_BYTES", 64)
     data = [np.arange(n, dtype="<u4").tobytes() for n in (1, 0, 3, 100, 2, 16, 16, 500)]

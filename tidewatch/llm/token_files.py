@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -129,13 +130,15 @@ class WordEncoder:
     Exact for tokenizers that drop white space before merging and merge runs of letters apart from marks:
     no id spans a blank, or a letter and the mark behind it, and normalisation (composition, lower case)
     never looks across either.  Words of letters are asked for many at a time in one text and told apart
-    by the ids that end words.  What is kept is bounded by ``most`` and holds no stretch over 64 characters.
+    by the ids that end words.  A stretch between blanks that is a word with ASCII marks behind it is put
+    together from the two; they hold no letter, so no added token.  Equal stretches of a call are looked up
+    once.  What is kept is bounded by ``most`` and holds no string over 64 characters.
     A tokenizer that does not say so in its settings is asked for whole texts.
     """
 
-    MARKS = frozenset(",.!?;:")
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,8 +146,9 @@ class WordEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.whole = not self._splits(json.loads(self.tokenizer.to_str()))
 
     @staticmethod
@@ -159,61 +163,77 @@ class WordEncoder:
             and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not any(any(c.isspace() for c in x["content"]) or x["lstrip"] or x["rstrip"] for x in says.get("added_tokens", []))
         )
 
-    @staticmethod
-    def _root(word: str) -> str | None:
-        """The lower-case form of a word of Latin letters, which encodes the same; None for all else."""
-        return word.lower() if word.isalpha() and max(word) < "\u0180" and len(word) <= 64 else None
-
     def _ask(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _ask_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 400):
             some = words[at : at + 400]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            cut = [i + 1 for i, x in enumerate(ids) if x in self.ends]
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                data = np.array(ids, "<u4").tobytes()
-                self.words.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cut], cut))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if cut.size == len(some) and cut[-1] == ids.size:
+                data, to = ids.tobytes(), (4 * cut).tolist()
+                self.known.update(zip(some, [data[a:b] for a, b in zip([0, *to], to)]))
             else:
-                self.words.update(zip(some, self._ask(some)))
-
-    def _learn(self, new: list[str]) -> None:
-        split, rest, ask = [], [], set()
-        for w in new:
-            root, mark = self._root(w), ""
-            if root is None and len(w) > 1 and w[-1] in self.MARKS:
-                root, mark = self._root(w[:-1]), w[-1]
-            if root is None:
-                rest.append(w)
+                self.known.update(zip(some, self._ask(some)))
+
+    def _ids(self, stretches: list[str]) -> list[bytes]:
+        """Ids of different stretches without blanks."""
+        known, marks = self.known, self.MARKS
+        out = list(map(known.get, stretches))
+        at = [i for i, x in enumerate(out) if x is None]
+        words, tails, ask, rest = [], [], set(), set()
+        for i in at:
+            w = stretches[i]
+            word, tail = w.rstrip(marks), ""
+            # words of Latin letters encode like their lower-case forms
+            if word.isalpha() and len(word) <= 64 and (word.isascii() or max(word) < "\u0180"):
+                if len(word) < len(w):
+                    tail = w[len(word) :]
+                    if tail not in known:
+                        rest.add(tail)
+                word = word.lower()
+                if word not in known:
+                    ask.add(word)
             else:
-                split.append((w, root, mark))
-                if root not in self.words:
-                    ask.add(root)
+                word = w
+                rest.add(w)
+            words.append(word)
+            tails.append(tail)
         self._ask_words(list(ask))
-        marks = dict(zip(self.MARKS, self._ask(list(self.MARKS)))) | {"": b""}
-        self.known.update((w, self.words[root] + marks[mark]) for w, root, mark in split)
-        for at in range(0, len(rest), 5000):
-            self.known.update(zip(rest[at : at + 5000], self._ask(rest[at : at + 5000])))
+        rest = list(rest)
+        for k in range(0, len(rest), 5000):
+            known.update(zip(rest[k : k + 5000], self._ask(rest[k : k + 5000])))
+        for i, word, tail in zip(at, words, tails):
+            out[i] = known[word] + known[tail] if tail else known[word]
+        for w in rest:
+            if len(w) > 64:
+                del known[w]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
         if self.whole:
             return self._ask(texts)
-        if len(texts) == 1 and len(texts[0]) > PART:
-            return [b"".join(self.encode([x])[0] for x in _parts(texts[0]))]
+        texts = [x.replace("\n", " ") for x in texts]
+        if len(texts) == 1:
+            return [b"".join(self._encode([x])[0] for x in _parts(texts[0]))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        self._learn(list(new))
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        return out
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        dealt = split.flatten().dictionary_encode()
+        # as one string, cut at line ends, of which no stretch has any: faster than one by one
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(dealt.dictionary)], pa.int32()), dealt.dictionary), "\n")[0].as_py().split("\n")
+        pieces, code = self._ids(different), dealt.indices.to_numpy()
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        first, n = np.cumsum(size) - size, size[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(pieces), "<u4")[np.arange(ends[-1]) + np.repeat(first[code] - ends[:-1], n)]
+        cut = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
 
 def _parts(text: str) -> Iterator[str]:
