@@ -73,3 +73,13 @@ def test_score_all_channels_counts_events_without_a_time(spark, untimed):
     got, want = both(spark, untimed, "score_all_channels")
     assert got == want
     assert [(r["user_id"], r["is_beacon_pair"]) for r in got][:2] == [(0, True), (1, True)] and got[-1] == {"user_id": 2, "beacon_confidence": 0.0, "is_beacon_pair": False}
+
+
+def test_score_all_channels_puts_no_user_last_among_equals(spark, tmp_path):
+    """Events without a user are a channel of their own, with 0; so have users 3 and -5, whose events have no time."""
+    at = "CAST(timestampadd(SECOND, s, TIMESTAMP_NTZ'2024-01-02 00:00:00') AS TIMESTAMP_NTZ)"
+    made = [(0, 300 * i) for i in range(80)] + [(None, 300 * i) for i in range(40)] + [(3, None)] * 12 + [(-5, None)] * 15
+    spark.createDataFrame(made, "user_id bigint, s int").selectExpr("CAST(monotonically_increasing_id() AS BIGINT) AS event_id", f"{at} AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, str(tmp_path), "score_all_channels")
+    assert got == want
+    assert [(r["user_id"], r["beacon_confidence"]) for r in got] == [(0, 0.8), (-5, 0.0), (3, 0.0), (None, 0.0)]
