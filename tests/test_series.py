@@ -83,3 +83,18 @@ def test_score_all_channels_puts_no_user_last_among_equals(spark, tmp_path):
     got, want = both(spark, str(tmp_path), "score_all_channels")
     assert got == want
     assert [(r["user_id"], r["beacon_confidence"]) for r in got] == [(0, 0.8), (-5, 0.0), (3, 0.0), (None, 0.0)]
+
+
+def test_score_all_channels_does_not_hang_on_the_session_zone(spark, tmp_path):
+    """Beats of 900 s over the night of 2024-03-10, when New York's clocks skip the hour from 2 to 3."""
+    made = [(u, (900 + u) * i) for u in range(3) for i in range(80)]
+    at = "CAST(timestampadd(SECOND, s, TIMESTAMP_NTZ'2024-03-09 18:00:00') AS TIMESTAMP_NTZ)"
+    spark.createDataFrame(made, "user_id bigint, s int").selectExpr("CAST(monotonically_increasing_id() AS BIGINT) AS event_id", f"{at} AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got, want = both(spark, str(tmp_path), "score_all_channels")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == want
+    assert got[0] == {"user_id": 0, "beacon_confidence": 0.8, "is_beacon_pair": True}
