@@ -98,3 +98,17 @@ def test_score_all_channels_does_not_hang_on_the_session_zone(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == want
     assert got[0] == {"user_id": 0, "beacon_confidence": 0.8, "is_beacon_pair": True}
+
+
+def test_score_all_channels_reads_times_with_a_zone_as_instants(spark, tmp_path):
+    """The same beats in a column of instants, also in sessions of other zones."""
+    made = [(u, 1709985600 + (900 + u) * i) for u in range(3) for i in range(80)]
+    spark.createDataFrame(made, "user_id bigint, s bigint").selectExpr("CAST(monotonically_increasing_id() AS BIGINT) AS event_id", "timestamp_seconds(s) AS ts", "user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got, want = both(spark, str(tmp_path), "score_all_channels")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == want
+    assert got[0] == {"user_id": 0, "beacon_confidence": 0.8, "is_beacon_pair": True}
